@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import byte_bpe, line_dedup, sharding
+from ledgerline.llm import byte_bpe, line_dedup, sharding, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_sharding": sharding.op4_sharding,
     "op5_line_dedup": line_dedup.op5_line_dedup,
