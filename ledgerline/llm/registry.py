@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import byte_bpe, chat_format, embedding_dedup, html_text, line_dedup, sharding, toxicity, url_filter
+from ledgerline.llm import byte_bpe, chat_format, embedding_dedup, html_text, line_dedup, minhash_dedup, sharding, toxicity, url_filter
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
+    "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_html_text": html_text.op10_html_text,
