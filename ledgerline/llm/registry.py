@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import byte_bpe, chat_format, embedding_dedup, html_text, line_dedup, minhash_dedup, sharding, toxicity, url_filter
+from ledgerline.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    embedding_dedup,
+    html_text,
+    line_dedup,
+    minhash_dedup,
+    sharding,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_sharding": sharding.op4_sharding,
