@@ -108,10 +108,14 @@ class Index:
     def _regions(self, gram: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, lowest and highest diagonal) of each band that reaches its bound."""
         at = np.flatnonzero(self.table[self._slot(gram)])
+        if not len(at):
+            return
         found = np.searchsorted(self.distinct, gram[at])
         found[found == len(self.distinct)] = 0
         exact = self.distinct[found] == gram[at]
         at, found = at[exact], found[exact]
+        if not len(at):
+            return
         times = self.count[found]
         row = np.repeat(np.arange(len(at)), times)
         entry = self.first[found][row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -123,7 +127,7 @@ class Index:
         key = np.concatenate([key, np.sort(key - 2 * LONG)])
         key.sort(kind="stable")
         key = key[np.r_[True, key[1:] != key[:-1]]] // (2 * LONG)  # each place of the window counts once
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         shared = np.diff(np.r_[start, len(key)])
         x, b = key[start] // span, key[start] % span - 1
         enough = shared >= self.bound[x]
