@@ -244,8 +244,8 @@ def roll_up(ok: Column, prefix: str) -> Column:
 def _extremes(rows: DataFrame, prefix: str) -> DataFrame:
     """The metric's status, largest and smallest value and their companies (ties: the smaller code) beside each row."""
     v = F.when(F.col("status") == "ok", F.col("value").cast("double"))
-    top = F.max_by("company_name", F.when(v.isNotNull(), F.struct(v, -F.col("stock_code").cast("int"))))
-    low = F.min_by("company_name", F.when(v.isNotNull(), F.struct(v, F.col("stock_code").cast("int"))))
+    top = F.min_by("company_name", F.when(v.isNotNull(), F.struct(-v, "stock_code")))
+    low = F.min_by("company_name", F.when(v.isNotNull(), F.struct(v, "stock_code")))
     summary = rows.groupBy("metric").agg(
         roll_up(F.col("status") == "ok", prefix).alias("metric_status"), top.alias("higher"), low.alias("lower"), F.when(F.count(v) >= 2, F.round(F.max(v) - F.min(v), 2)).alias("diff")
     )
@@ -281,9 +281,9 @@ def compare_yoy(m: Marts, codes: Sequence[str], year: int, period: str, key: str
     """Growth of each company; the winner is named only if all are comparable."""
     rows = yoy(m, codes, year, period, [key]).join(m.dim.select("stock_code", "company_name"), "stock_code")
     ok = F.col("status") == "ok"
-    best = F.max_by("company_name", F.when(ok, F.struct("yoy_rate", -F.col("stock_code").cast("int"))))
-    worst = F.min_by("company_name", F.when(ok, F.struct("yoy_rate", F.col("stock_code").cast("int"))))
-    widest = F.max_by("company_name", F.when(ok, F.struct(F.abs("change_abs"), -F.col("stock_code").cast("int"))))
+    best = F.min_by("company_name", F.when(ok, F.struct(-F.col("yoy_rate"), "stock_code")))
+    worst = F.min_by("company_name", F.when(ok, F.struct("yoy_rate", "stock_code")))
+    widest = F.min_by("company_name", F.when(ok, F.struct(-F.abs("change_abs"), "stock_code")))
     full = F.bool_and(ok) & (F.count("*") >= 2)
     summary = rows.groupBy("metric").agg(
         roll_up(ok, "compare_yoy").alias("metric_status"), F.when(full, best).alias("winner"), F.when(full, worst).alias("loser"), F.when(full, widest).alias("larger_change"),
@@ -299,7 +299,7 @@ def derived_compare_yoy(m: Marts, codes: Sequence[str], year: int, period: str,
     full = F.bool_and(ok) & (F.count("*") >= 2)
     summary = rows.groupBy("metric").agg(
         roll_up(ok, "compare_yoy").alias("metric_status"),
-        F.when(full, F.max_by("company_name", F.when(ok, F.struct("change_abs", -F.col("stock_code").cast("int"))))).alias("winner"),
+        F.when(full, F.min_by("company_name", F.when(ok, F.struct(-F.col("change_abs"), "stock_code")))).alias("winner"),
     )
     return rows.join(F.broadcast(summary), "metric")  # one row
 

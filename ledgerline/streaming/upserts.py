@@ -17,7 +17,7 @@ def events_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events and their sum by type and window; rows later than the watermark are left out, and state is freed after it."""
-    timed = events.withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
 
 
