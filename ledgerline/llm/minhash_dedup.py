@@ -40,7 +40,7 @@ BLOCK = 1024
 #: Rows of 24 bytes that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Word hashes that a worker remembers, at most.
-CACHE = 500_000
+CACHE = 150_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TURNS = np.random.default_rng(7).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,8 +76,8 @@ def shingles(text: str | None) -> np.ndarray:
 def signature(found: np.ndarray) -> np.ndarray:
     """SYMBOLS unsigned 16-bit symbols of a set that isn't empty."""
     low = np.full(SYMBOLS, np.uint64(2**64 - 1))
-    for k in range(0, len(found), 4096):
-        np.minimum(low, (found[k : k + 4096, None] * _TURNS[None, :]).min(axis=0), out=low)
+    for k in range(0, len(found), 1024):
+        np.minimum(low, (found[k : k + 1024, None] * _TURNS[None, :]).min(axis=0), out=low)
     return ((low * _M2) >> np.uint64(64 - BITS)).astype(np.uint16)
 
 
