@@ -11,7 +11,7 @@ calibrated logit of its highest window, over every window of its whole text.
 Once trained, softmax and embeddings fold into one number a bucket, which is all that travels to the executors.
 
 The sample, fixed by a hash of doc_id: at most SAMPLE_TOXIC and SAMPLE_CLEAN documents of up to SAMPLE_CHARS characters
-and at most SAMPLE_WINDOWS windows of each, by class. Nothing else is bounded.
+and at most SAMPLE_WINDOWS windows of each, by class; of a word, SAMPLE_GRAMS n-grams. Nothing else is bounded.
 
 Defined results: null and empty texts get the score of a window of no words; a doc_id labelled twice counts as toxic if
 one label says so; labels that are null are left out; with no label of either class all scores are the share of toxic
@@ -21,6 +21,7 @@ labels (0 with none). Labels, language, source and doc_id are no inputs of a sco
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,9 +35,10 @@ from ledgerline.llm.grams import hashed_grams
 
 BITS, SIZES = 18, (3, 4, 5, 6)
 WINDOW, LEAST = 8, 4
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, SAMPLE_WINDOWS = 2000, 2500, 20_000, (20, 60)
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 2000, 20_000, (20, 60)
 #: The share of sampled documents that an n-gram must be in; rate and batch of the Adagrad fit.
 COMMON, RATE, BATCH = 0.002, 0.1, 1024
+UPDATES, SAMPLE_GRAMS = 500, 40
 #: Words that a worker remembers between batches, at most.
 CACHE = 300_000
 EDGES = ".,;:!?\"'()[]{}…«»“”"
@@ -86,6 +88,33 @@ def _padded(row: np.ndarray, item: np.ndarray, n_rows: int, pad: int) -> np.ndar
     return out
 
 
+def _vocabulary_grams(vocabulary: list[str], seen: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that count, their places for each word as a matrix whose last row and filler is the empty bucket, and each
+    word's number of n-grams. seen: documents by word; a bucket counts if its words are in `least` documents together."""
+    size = 20_000
+    cuts = range(0, len(vocabulary), size)
+    total = np.zeros(1 << BITS)
+    for k in cuts:
+        row, bucket = hashed_grams(vocabulary[k : k + size], SIZES, BITS)
+        total += np.bincount(bucket, seen[k : k + size][row], 1 << BITS)
+    names = np.flatnonzero(total >= least)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[names] = np.arange(len(names))
+    grams = np.full((len(vocabulary) + 1, SAMPLE_GRAMS), len(names), np.int32)
+    n_grams = np.ones(len(vocabulary) + 1, np.float32)
+    for k in cuts:
+        row, bucket = hashed_grams(vocabulary[k : k + size], SIZES, BITS)
+        n = min(size, len(vocabulary) - k)
+        n_grams[k : k + n] = np.maximum(1, np.bincount(row, minlength=n))
+        order = np.argsort(row, kind="stable")
+        order = order[place[bucket[order]] >= 0]
+        found = np.bincount(row[order], minlength=n)
+        nth = np.arange(len(order)) - np.repeat(np.cumsum(found) - found, found)
+        order, nth = order[nth < SAMPLE_GRAMS], nth[nth < SAMPLE_GRAMS]
+        grams[k + row[order], nth] = place[bucket[order]]
+    return names, grams, n_grams
+
+
 def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None, dim: int = 4, rounds: int = 16, seed: int = 5) -> ToxicityModel:
     """prior: the share of toxic labels at large, where the sample's own differs."""
     share = float(np.mean(toxic)) if len(toxic) else 0.0
@@ -96,15 +125,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None, dim: in
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     words = [np.array([vocabulary.setdefault(w.strip(EDGES), len(vocabulary)) for w in t.lower().split()], np.int64) for t in texts]
-    row, bucket = hashed_grams(list(vocabulary), SIZES, BITS)
-    n_grams = np.bincount(row, minlength=len(vocabulary)).astype(np.float32)
     seen = np.bincount(np.concatenate([np.unique(x) for x in words]), minlength=len(vocabulary))
-    often = np.bincount(bucket, seen[row], 1 << BITS) >= max(2, COMMON * len(texts))
-    order = np.argsort(row, kind="stable")
-    order = order[often[bucket[order]]]
-    names, member = np.unique(bucket[order], return_inverse=True)
-    grams = np.vstack([_padded(row[order], member, len(vocabulary), len(names)), np.full((1, 1), len(names)).repeat(max(1, np.bincount(row[order]).max(initial=0)), 1)])
-    n_grams = np.append(n_grams, 1)
+    names, grams, n_grams = _vocabulary_grams(list(vocabulary), seen, max(2, COMMON * len(texts)))
     parts, owner = [], []
     for d, x in enumerate(words):
         cut = [x[k : k + WINDOW] for k in range(0, len(x), WINDOW)] or [x]
@@ -121,9 +143,10 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None, dim: in
     judge = aside if 0 < toxic[aside].sum() < aside.sum() else np.ones(len(texts), bool)
     label = toxic.astype(np.int64)[own]
     best, kept = np.inf, None
+    rounds = max(rounds, min(150, math.ceil(UPDATES / max(1, len(own) // BATCH))))  # small samples need more rounds
     for turn in range(rounds):
         use = ~aside[own]
-        if turn > 1:  # of a toxic document only the highest windows are sure to be toxic
+        if turn > rounds // 8:  # of a toxic document only the highest windows are sure to be toxic
             high = np.append(of, 0)[windows].sum(axis=1) / long
             by = np.lexsort((high, own))
             last = np.r_[own[by][1:] != own[by][:-1], True]
@@ -178,7 +201,8 @@ def _calibration(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, flo
 
 def held_out(doc_id: Column | str) -> Column:
     """Rows that training never sees."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % 4 == 2
+    known = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(known.cast("string"), F.lit(""))) % 4 == 2
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
