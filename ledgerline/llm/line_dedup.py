@@ -2,7 +2,8 @@
 
 Plan: explode the distinct normalised lines of each document, hash them to 128 bits, count documents per hash
 (partial aggregation runs before the shuffle, so a line that a third of all documents share costs one row a task),
-keep the hashes at or over the threshold, find the positions that they hit, and rebuild each text from the slices
+keep the hashes at or over the threshold, find the positions that they hit (the few most common hashes by a bounded
+broadcast, the others by a shuffle), and rebuild each text from the slices
 between dropped positions. The text itself moves through one shuffle, the one that brings positions to it; all
 other shuffles carry hashes.
 
@@ -16,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ascii_lower, read_table, sha256_hex, strip_blanks
+from ledgerline.llm.common import ascii_lower, materialize, read_table, sha256_hex, strip_blanks
+
+
+#: Keys in more documents than a HOT_LINES-th of all finds, and at least LEAST_HOT documents, are broadcast.
+HOT_LINES, LEAST_HOT = 10_000, 256
 
 
 def line_key(line: Column) -> Column:
@@ -34,7 +39,7 @@ def _hashes(key: Column) -> list[Column]:
 
 
 def frequent_lines(texts: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """(__h1, __h2) of the keys found in at least min_docs rows of texts (column __text)."""
+    """(__h1, __h2, count) of the keys found in at least min_docs rows of texts (column __text)."""
     keys = F.array_distinct(F.transform(_lines(F.col("__text")), line_key))
     return (
         texts.select(F.explode(keys).alias("__key"))
@@ -43,7 +48,6 @@ def frequent_lines(texts: DataFrame, min_docs: int, min_chars: int) -> DataFrame
         .groupBy("__h1", "__h2")
         .count()
         .where(F.col("count") >= min_docs)
-        .select("__h1", "__h2")
     )
 
 
@@ -73,7 +77,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     narrow = docs.select(*ident, text.alias("__text"))
     spots = narrow.select("__k1", "__k2", F.posexplode(_lines(F.col("__text"))).alias("__pos", "__line"))
     spots = spots.select("__k1", "__k2", "__pos", line_key(F.col("__line")).alias("__key")).where(F.char_length("__key") >= min_chars)
-    hit = spots.select("__k1", "__k2", "__pos", *_hashes(F.col("__key"))).join(frequent_lines(narrow, min_docs, min_chars), ["__h1", "__h2"])
+    frequent = materialize(frequent_lines(narrow, min_docs, min_chars))
+    total = frequent.agg(F.sum("count")).first()[0] or 0
+    # at most HOT_LINES keys are this common; their places are known by a broadcast and spread over the shuffle
+    common = F.col("count") >= max(LEAST_HOT, total / HOT_LINES)
+    hot = F.broadcast(frequent.where(common).select("__h1", "__h2", F.lit(True).alias("__hot")))
+    rest_ = frequent.where(~common).select(F.col("__h1").alias("__j"), "__h2", F.lit(True).alias("__cold"))
+    keyed = spots.select("__k1", "__k2", "__pos", *_hashes(F.col("__key"))).join(hot, ["__h1", "__h2"], "left")
+    spread = F.when(F.col("__hot"), F.xxhash64("__k2", "__pos")).otherwise(F.col("__h1"))
+    hit = keyed.withColumn("__j", spread).join(rest_, ["__j", "__h2"], "left").where(F.col("__hot") | F.col("__cold"))
     drops = hit.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set("__pos")).alias("__drops"))
     whole = docs.select(*rest, *ident, text.alias("__text")).join(drops.hint("shuffle_hash"), ["__k1", "__k2"], "left")
     lines = _lines(F.col("__text"))

@@ -38,6 +38,14 @@ def test_repeated_rows_are_documents(docs_of):
     assert got(line_dedup.dedup_lines(docs_of(rows))) == brute(rows) == [(1, 2, 2, "")] * 10
 
 
+def test_common_and_rare_lines_take_both_ways(docs_of, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", 20)
+    rows = [(k, f"in all\n{'in some' if k < 15 else 'x'}\nown {k}\nIN ALL ") for k in range(40)]
+    assert got(line_dedup.dedup_lines(docs_of(rows))) == brute(rows)
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", 1)
+    assert got(line_dedup.dedup_lines(docs_of(rows))) == brute(rows)
+
+
 def test_min_chars(docs_of):
     rows = [(k, f"ab\nabc\nx{k}") for k in range(10)]
     assert got(line_dedup.dedup_lines(docs_of(rows), min_chars=3)) == brute(rows, min_chars=3)
