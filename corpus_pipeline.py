@@ -32,8 +32,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
-    gone = near_duplicates(docs, threshold=85).where(~F.col("kept")).select("__k1", "__k2").distinct()
+    """Of each group of near copies, linked from a similarity of 0.8, the document with the smallest doc_id."""
+    gone = near_duplicates(docs, threshold=80).where(~F.col("kept")).select("__k1", "__k2").distinct()
     named = docs.withColumns({"__k1": F.xxhash64("doc_id"), "__k2": F.xxhash64("text")})
     return named.join(gone.hint("shuffle_hash"), ["__k1", "__k2"], "left_anti").select(*docs.columns)
 

@@ -1,9 +1,10 @@
 """MinHash near-dedup by a multi-index Hamming join, confirmed on full shingle sets.
 
-Signature: SYMBOLS minima of the set of five-word shingles, BITS bits of each. Pigeonhole: SYMBOLS are split in CHUNKS
-chunks, and with at most `DISTANCE = 2 * CHUNKS - 1` differing symbols some chunk has at most one error. All one-error
+Signature: SYMBOLS minima of the set of five-word shingles, BITS bits of each. Pigeonhole: SYMBOLS are split in
+chunks, and with at most `distance = 2 * chunks - 1` differing symbols some chunk has at most one error. All one-error
 patterns of a chunk are enumerated by leaving out one symbol at a time, so each set has one key a symbol and every pair
-within DISTANCE shares a key; at a similarity of 0.85 a pair exceeds DISTANCE with a probability under 1e-4.
+within the distance shares a key. The chunks follow from the threshold: so many that a pair right at it exceeds the
+distance with a probability under MISSED (11 chunks for 0.85, 14 for 0.8).
 
 Steps. Documents with equal sets are one node. Keys held by one node alone are dropped. For the other nodes the full sets
 are built, and a shingle that only one node has bounds that node's similarity to all others; nodes that it puts below the
@@ -21,6 +22,7 @@ rows that repeat a doc_id are judged by their texts.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,21 @@ from ledgerline.llm.common import discard, materialize, read_table
 from ledgerline.llm.graph import connected_components
 
 WORDS = 5
-SYMBOLS, BITS, CHUNKS = 64, 16, 11
-DISTANCE = 2 * CHUNKS - 1
-#: The first symbol of each chunk, and the end.
-BOUNDS = [SYMBOLS * k // CHUNKS for k in range(CHUNKS + 1)]
+SYMBOLS, BITS = 64, 16
+MISSED = 1e-4
+
+
+def planned(threshold: int) -> tuple[int, list[int]]:
+    """The distance within which all pairs are found, and the first symbol of each chunk and the end."""
+    unlike = 1 - threshold / 100
+    for chunks in range(1, SYMBOLS // 3 + 1):  # a key of fewer than two symbols tells nothing apart
+        distance = 2 * chunks - 1
+        if sum(math.comb(SYMBOLS, k) * unlike**k * (1 - unlike) ** (SYMBOLS - k) for k in range(distance + 1, SYMBOLS + 1)) < MISSED:
+            return distance, [SYMBOLS * k // chunks for k in range(chunks + 1)]
+    raise ValueError(f"{SYMBOLS} symbols can't find pairs from a similarity of {threshold} percent")
+
+
+DISTANCE, BOUNDS = planned(85)
 BLOCK = 1024
 #: Rows of 24 bytes that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -105,10 +118,10 @@ def _set_of(text: Column) -> Column:
     return run(text)
 
 
-def _keys(sig: Column) -> Column:
+def _keys(sig: Column, bounds: list[int] = BOUNDS) -> Column:
     """One key for each symbol left out of its chunk."""
     out = []
-    for lo, hi in zip(BOUNDS[:-1], BOUNDS[1:]):
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
         for j in range(lo, hi):
             parts = [F.substring(sig, 2 * a + 1, 2 * (z - a)) for a, z in ((lo, j), (j + 1, hi)) if z > a]
             out.append(F.xxhash64(F.lit(j), *parts))
@@ -123,15 +136,16 @@ def _can_reach(threshold: int, n1, u1, n2, u2):
     return 100 * low(n1 - u1, n2 - u2) >= threshold * high(n1 + u2, n2 + u1)
 
 
-def _first_shared(differ: np.ndarray) -> np.ndarray:
+def _first_shared(differ: np.ndarray, bounds: list[int] = BOUNDS) -> np.ndarray:
     """The first key that each pair shares; differ: bool [pair, symbol]."""
-    errors = np.add.reduceat(differ, BOUNDS[:-1], axis=1, dtype=np.int16)
-    return (np.repeat(errors, np.diff(BOUNDS), axis=1) - differ == 0).argmax(axis=1)
+    errors = np.add.reduceat(differ, bounds[:-1], axis=1, dtype=np.int16)
+    return (np.repeat(errors, np.diff(bounds), axis=1) - differ == 0).argmax(axis=1)
 
 
 def _across(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
     """Pairs of different components in each group (key, i, j), from rows sorted by group."""
     held: pd.DataFrame | None = None
+    distance, bounds = planned(threshold)
 
     def done(rows: pd.DataFrame) -> pd.DataFrame:
         group = np.r_[0, np.cumsum((rows[["key", "i", "j"]].to_numpy()[1:] != rows[["key", "i", "j"]].to_numpy()[:-1]).any(axis=1))]
@@ -150,9 +164,9 @@ def _across(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.Data
             x, y = x[use], y[use]
             if len(x):
                 differ = sig[x] != sig[y]
-                use = differ.sum(axis=1) <= DISTANCE
+                use = differ.sum(axis=1) <= distance
                 x, y, differ = x[use], y[use], differ[use]
-                use = _first_shared(differ) == sym[x]
+                use = _first_shared(differ, bounds) == sym[x]
                 out.append(np.stack([nid[x[use]], nid[y[use]]], axis=1))
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}) if len(pairs) else pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -190,7 +204,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     )
     nodes = materialize(classes.select(F.monotonically_increasing_id().alias("nid"), "cls", "low", "of.__k1", "of.__k2", "n", "sig"))
 
-    keyed = nodes.select("nid", F.posexplode(_keys(F.col("sig"))).alias("sym", "key"))
+    keyed = nodes.select("nid", F.posexplode(_keys(F.col("sig"), planned(threshold)[1])).alias("sym", "key"))
     met = materialize(keyed.join(keyed.groupBy("key").count().where("count > 1"), "key", "left_semi"))
     some = materialize(nodes.join(met.select("nid").distinct(), "nid", "left_semi").select("nid", "__k1", "__k2", "n", "sig"))
     wanted = some.select("nid", "__k1", "__k2")

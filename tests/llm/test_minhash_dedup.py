@@ -121,3 +121,38 @@ def test_query_on_whole_table(spark, tiny):
     rows = [tuple(r) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in mh.op7_minhash_dedup(spark, tiny).collect()), key=str)
     assert got == brute(rows)
+
+
+def at_similarity(k, differing):
+    """Two texts of 200 words; each of the words that differ, far apart, spoils five shingles."""
+    one = [f"p{k}w{i}" for i in range(200)]
+    two = list(one)
+    for j in range(differing):
+        two[10 + 12 * j] = f"p{k}new{j}"
+    return " ".join(one), " ".join(two)
+
+
+@pytest.mark.parametrize("threshold", [80, 70])
+def test_lower_thresholds_against_brute_force(docs_of, threshold):
+    texts = [t for k in range(60) for t in at_similarity(k, 3 + k % 5)] + [t for _, t in varied(40, seed=3)]
+    rows = list(enumerate(texts))
+    assert run(docs_of(rows), threshold=threshold) == brute(rows, threshold)
+
+
+@pytest.mark.parametrize("threshold", range(65, 101, 5))
+def test_the_distance_follows_from_the_threshold(threshold):
+    distance, bounds = mh.planned(threshold)
+    rng = np.random.default_rng(8)
+    differ = np.zeros((300, mh.SYMBOLS), bool)
+    for row in differ:
+        row[rng.choice(mh.SYMBOLS, distance, replace=False)] = True
+    first = mh._first_shared(differ, bounds)
+    for row, f in zip(differ, first):
+        lo, hi = next((a, z) for a, z in zip(bounds[:-1], bounds[1:]) if a <= f < z)
+        assert not np.delete(row[lo:hi], f - lo).any()
+    assert min(np.diff(bounds)) >= 3 and (rng.binomial(mh.SYMBOLS, 1 - threshold / 100, 100_000) > distance).mean() < 5e-4
+
+
+def test_a_threshold_out_of_reach_is_refused():
+    with pytest.raises(ValueError):
+        mh.planned(40)

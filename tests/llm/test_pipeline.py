@@ -48,3 +48,15 @@ def test_each_stage_on_its_own_input(spark, small, tmp_path):
     assert all(after[i].n_tokens == len(codec.encode(t or "")) // 4 for i, t in before.items())
     whole = {tuple(r) for r in __spark_entry__.queries()["pipeline"](spark, small).collect()}
     assert whole == {tuple(r) for r in after.values()}
+
+
+def test_near_copies_link_from_four_fifths(spark, tmp_path):
+    """Against brute force at 0.8: pairs of 196 shingles each, with 15 to 40 of them spoilt."""
+    from tests.llm.test_minhash_dedup import at_similarity, brute
+
+    rows = [(i, t) for i, t in enumerate(t for k in range(30) for t in at_similarity(k, 3 + k % 6))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {i for i, _, component in brute(rows, 80) if component in (None, i)}
+    at_85 = {i for i, _, component in brute(rows, 85) if component in (None, i)}
+    out = dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == want != at_85
