@@ -135,17 +135,24 @@ class Index:
             step = int(self.edits[x]) + 1
             yield x, b * step - LONG, (b + 2) * step - 1 - LONG
 
-    def search(self, data: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(window, edits, start, end) of all verified bands in normalised data."""
+    def search(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, window, edits, start, end) of all verified bands in normalised data, in which texts lie from begins to
+        ends. Every text that a band touches is aligned by itself, so no alignment runs from one into the next."""
         if len(data) < Q or not self.windows:
             return []
         out = []
         for x, low, high in self._regions(qgrams(data)):
             window = self.windows[x][1]
             slack = int(self.edits[x])
-            edits, start, end = banded_distance(window, data, low - slack, high + slack)
-            if edits <= self.edits[x]:
-                out.append((x, edits, max(0, start), min(len(data), end)))
+            low, high = low - slack, high + slack
+            reach = high + len(window)
+            for d in range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(begins, reach))):
+                a, z = int(begins[d]), int(ends[d])
+                if min(z, reach) - max(a, low) < len(window) - slack:  # too little of the text to hold the window
+                    continue
+                edits, start, end = banded_distance(window, data[a:z], low - a, high - a)
+                if edits <= slack:
+                    out.append((d, x, edits, max(a, start + a), min(z, end + a)))
         return out
 
     def search_texts(self, texts: list[str | None]) -> list[dict[object, tuple[int, int, int]]]:
@@ -157,13 +164,11 @@ class Index:
         def look() -> None:
             nonlocal joined, begins, ends, size, held
             data = np.frombuffer(b"\n".join(joined), np.uint8)
+            first, last = np.array(begins), np.array(ends)
             for at in range(0, max(1, len(data) - OVERLAP), PART):
-                for x, edits, start, end in self.search(data[at : at + PART + OVERLAP]):
-                    start, end = start + at, end + at
-                    d = int(np.searchsorted(begins, start, side="right")) - 1
-                    if end <= begins[d] or start >= ends[d]:
-                        continue
-                    new = (edits, start - begins[d], min(end, ends[d]) - begins[d])
+                part = data[at : at + PART + OVERLAP]
+                for d, x, edits, start, end in self.search(part, np.clip(first - at, 0, len(part)), np.clip(last - at, 0, len(part))):
+                    new = (edits, start + at - begins[d], end + at - begins[d])
                     item = self.windows[x][0]
                     out[held[d]][item] = min(new, out[held[d]].get(item, new))
             joined, begins, ends, size, held = [], [], [], 0, []

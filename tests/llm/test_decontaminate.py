@@ -105,3 +105,31 @@ def test_query_on_whole_table(spark, small):
     got = {(r.doc_id, r.item_id) for r in d.op1_decontaminate(spark, small).collect()}
     exact = {(i, k) for i, t in docs for k, b in items if d.normalise(b) in d.normalise(t or "")}
     assert exact <= got and len(got) <= len(exact) + 3
+
+
+@pytest.mark.parametrize("cut", [2, 3, 5, 8])
+def test_a_truncated_item_is_found_where_it_lies(cut):
+    """Its first bytes are missing and another text goes before: the hit is not the neighbour's, whatever the order."""
+    rng = np.random.default_rng(6)
+    items = [(k, passage(rng, 20)[:110]) for k in range(40)]
+    index = d.Index(items)
+    texts = []
+    for _, text in items:
+        texts += [passage(rng, 30), text[cut:] + " " + passage(rng, 12)]
+    found = index.search_texts(texts)
+    assert [set(f) for f in found] == [s for k in range(40) for s in (set(), {k})]
+    assert found == [index.search_texts([t])[0] for t in texts]
+    assert found[::-1] == index.search_texts(texts[::-1])
+    ending = [t for _, text in items for t in (passage(rng, 12) + " " + text[:-cut], passage(rng, 30))]
+    assert [set(f) for f in index.search_texts(ending)] == [s for k in range(40) for s in ({k}, set())]
+
+
+def test_short_texts_side_by_side(bench):
+    rng = np.random.default_rng(7)
+    pieces = [bench[0][1][k : k + 12] for k in range(0, 120, 12)]
+    assert not any(d.Index(bench).search_texts(pieces))
+    texts = [edit(rng, bench[k % 5][1], 0.02)[: int(rng.integers(5, 200))] for k in range(200)]
+    index = d.Index(bench)
+    for text, got in zip(texts, index.search_texts(texts)):
+        data = d.normalise(text)
+        assert set(got) == {item for (item, w), k in zip(index.windows, index.edits) if data and levenshtein(w.tobytes(), data) <= k}
