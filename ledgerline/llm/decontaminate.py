@@ -2,7 +2,9 @@
 
 Texts are case-folded, and every run of ASCII characters that are neither letters nor digits becomes one space. An item
 of up to LONG bytes is one window, a longer one is covered by windows of LONG that start STEP apart. A window of m bytes
-may be met with k = budget(m) edits. It is cut into p = m // Q q-grams side by side, so an edit spoils one of them at
+may be met with k = budget(m) edits. So any run of LONG bytes of a longer item is found, wherever it starts, with
+budget(LONG) - STEP / 2 edits at least, as no run lies further than STEP / 2 from a window, and a run of LONG + STEP - 1 bytes
+holds a whole window. A window is cut into p = m // Q q-grams side by side, so an edit spoils one of them at
 most, and k edits drift over k + 1 diagonals at most: an occurrence keeps at least p - k of them within one of the bands
 of 2 * (k + 1) diagonals, which overlap by half. On each whole document, the q-grams at every place are looked up among
 those of the windows, shared ones are counted for each window and band, and bands that reach the bound are verified by
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import read_table
 
 Q, EDITS = 7, 0.10
-SHORT, LONG, STEP = 16, 128, 64
-BLOCK_CHARS = 4_000_000
+SHORT, LONG, STEP = 16, 128, 8
+BLOCK_CHARS = 1_000_000
 #: Bytes of normalised text looked at in one go, and how far two goes overlap.
-PART, OVERLAP = 2_000_000, 1_024
-_TABLE_BITS = 22
+PART, OVERLAP = 250_000, 1_024
+#: Bands aligned at once.
+TOGETHER = 256
+_TABLE_BITS, _COUNT_BITS = 22, 20
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,25 +61,32 @@ def qgrams(data: np.ndarray) -> np.ndarray:
     return four[:-3] | (four[3:] << np.uint64(24))
 
 
-def banded_distance(window: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the best occurrence of window in text on diagonals low to high; a diagonal is the place in
-    text less the place in window."""
-    width = high - low + 1
-    padded = np.full(len(window) + width, 256, np.int32)
-    a, z = max(0, low), min(len(text), low + len(padded))
-    if z > a:
-        padded[a - low : z - low] = text[a:z]
+def banded_distances(windows: np.ndarray, texts: list[np.ndarray], low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the best occurrence of each window (a row) in its text on the width diagonals from low; a
+    diagonal is the place in text less the place in window."""
+    size = windows.shape[1]
+    padded = np.full((len(windows), size + width), 256, np.int16)
+    for row, text, by in zip(padded, texts, low.tolist()):
+        a, z = max(0, by), min(len(text), by + len(row))
+        if z > a:
+            row[a - by : z - by] = text[a:z]
     steps = np.arange(width)
     # of equal costs the later start, that is the shorter occurrence, wins: costs and starts in one number
     unit = np.int64(1 << 32)
-    cost = -(steps.astype(np.int64))
-    for i in range(len(window)):
-        best = cost + unit * (padded[i : i + width] != window[i])
-        np.minimum(best[:-1], cost[1:] + unit, out=best[:-1])
-        cost = np.minimum.accumulate(best - unit * steps) + unit * steps
-    at = int(np.argmin(cost))
-    edits, start = -int(-cost[at] // unit), int(-cost[at] % unit)
-    return edits, low + start, low + at + len(window)
+    cost = np.repeat(-steps.astype(np.int64)[None, :], len(windows), axis=0)
+    for i in range(size):
+        best = cost + unit * (padded[:, i : i + width] != windows[:, i, None])
+        np.minimum(best[:, :-1], cost[:, 1:] + unit, out=best[:, :-1])
+        cost = np.minimum.accumulate(best - unit * steps, axis=1) + unit * steps
+    at = cost.argmin(axis=1)
+    found = cost[np.arange(len(at)), at]
+    return -(-found // unit), low + -found % unit, low + at + size
+
+
+def banded_distance(window: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """banded_distances of one window on diagonals low to high."""
+    edits, start, end = banded_distances(window[None, :], [text], np.array([low]), high - low + 1)
+    return int(edits[0]), int(start[0]), int(end[0])
 
 
 class Index:
@@ -123,7 +134,15 @@ class Index:
         band = (at[row] - spot + LONG) // (self.edits[w] + 1)
         # a band is named by its lower half; a diagonal lies in the upper half of the one before
         span = len(gram) + 2 * LONG
-        key = np.sort(((w * span + band + 1) * 2 * LONG + spot))
+        half = w * span + band + 1
+        # most q-grams stand alone: counts of hashed halves, never too low, pass over bands that can't reach the bound
+        slot = half & ((1 << _COUNT_BITS) - 1)
+        counted = np.bincount(slot, minlength=1 << _COUNT_BITS)
+        counted += np.roll(counted, -1)
+        some = np.maximum(counted[slot], counted[slot - 1]) >= self.bound[w]
+        if not some.any():
+            return
+        key = np.sort(half[some] * 2 * LONG + spot[some])
         key = np.concatenate([key, np.sort(key - 2 * LONG)])
         key.sort(kind="stable")
         key = key[np.r_[True, key[1:] != key[:-1]]] // (2 * LONG)  # each place of the window counts once
@@ -140,19 +159,22 @@ class Index:
         ends. Every text that a band touches is aligned by itself, so no alignment runs from one into the next."""
         if len(data) < Q or not self.windows:
             return []
-        out = []
+        held: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for x, low, high in self._regions(qgrams(data)):
-            window = self.windows[x][1]
-            slack = int(self.edits[x])
+            size, slack = len(self.windows[x][1]), int(self.edits[x])
             low, high = low - slack, high + slack
-            reach = high + len(window)
+            reach = high + size
             for d in range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(begins, reach))):
-                a, z = int(begins[d]), int(ends[d])
-                if min(z, reach) - max(a, low) < len(window) - slack:  # too little of the text to hold the window
-                    continue
-                edits, start, end = banded_distance(window, data[a:z], low - a, high - a)
-                if edits <= slack:
-                    out.append((d, x, edits, max(a, start + a), min(z, end + a)))
+                if min(int(ends[d]), reach) - max(int(begins[d]), low) >= size - slack:  # enough of the text to hold the window
+                    held.setdefault((size, high - low + 1), []).append((d, x, low))
+        out = []
+        for (_, width), bands in held.items():
+            for k in range(0, len(bands), TOGETHER):
+                d, x, low = np.array(bands[k : k + TOGETHER]).T
+                edits, start, end = banded_distances(np.stack([self.windows[w][1] for w in x]), [data[begins[t] : ends[t]] for t in d], low - begins[d], width)
+                start, end = np.maximum(start, 0) + begins[d], np.minimum(end + begins[d], ends[d])
+                good = edits <= self.edits[x]
+                out += zip(*(c[good].tolist() for c in (d, x, edits, start, end)))
         return out
 
     def search_texts(self, texts: list[str | None]) -> list[dict[object, tuple[int, int, int]]]:

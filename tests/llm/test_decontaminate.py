@@ -128,8 +128,26 @@ def test_short_texts_side_by_side(bench):
     rng = np.random.default_rng(7)
     pieces = [bench[0][1][k : k + 12] for k in range(0, 120, 12)]
     assert not any(d.Index(bench).search_texts(pieces))
-    texts = [edit(rng, bench[k % 5][1], 0.02)[: int(rng.integers(5, 200))] for k in range(200)]
+    texts = [edit(rng, bench[k % 5][1], 0.02)[: int(rng.integers(5, 200))] for k in range(80)]
     index = d.Index(bench)
     for text, got in zip(texts, index.search_texts(texts)):
         data = d.normalise(text)
         assert set(got) == {item for (item, w), k in zip(index.windows, index.edits) if data and levenshtein(w.tobytes(), data) <= k}
+
+
+def test_passages_of_a_long_item_are_found_at_every_offset():
+    rng = np.random.default_rng(9)
+    text = d.normalise(passage(rng, 90)).decode()[:384]
+    index = d.Index([(1, text)])
+    cuts = [text[at : at + d.LONG] for at in range(len(text) - d.LONG + 1)]
+    assert all(set(f) == {1} for f in index.search_texts(cuts))
+    assert all(set(f) == {1} for f in index.search_texts([passage(rng, 20) + " " + c + " " + passage(rng, 20) for c in cuts]))
+    runs = [(c, d.budget(d.LONG) - d.STEP // 2) for c in cuts]
+    runs += [(text[at : at + d.LONG + d.STEP - 1], d.budget(d.LONG)) for at in range(len(text) - d.LONG - d.STEP + 2)]
+    spoilt = []
+    for c, edits in runs:
+        chars = list(c)
+        for k in rng.choice(len(chars), edits, replace=False):
+            chars[k] = "q" if chars[k] != "q" else "x"
+        spoilt.append(passage(rng, 8) + " ; " + "".join(chars) + " ; " + passage(rng, 8))
+    assert all(set(f) == {1} for f in index.search_texts(spoilt))
