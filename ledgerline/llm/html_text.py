@@ -5,7 +5,9 @@ terms), ignores end tags that match nothing, and keeps script, style and other r
 than DEPTH, elements become siblings, as browsers do, so no input exhausts the stack.
 
 What isn't displayed is left out: head, script, style, template, noscript and the like, hidden attributes, hidden inputs,
-inline `display:none` or `visibility:hidden`, and elements that a page's own style sheet hides by tag, class or id.
+inline `display:none` or `visibility:hidden`, and elements that a page's own style sheet hides by tag, class or id, in a rule
+that holds on every screen: at the top level or in @media screen or all. Of SVG and MathML the text is shown, without
+descriptions, definitions and annotations.
 Everything else is emitted once, in order. Paragraph-like blocks stand apart by an empty line, other blocks by a line
 break; list items carry a bullet or number and indent by level; preformatted text keeps its spaces; the cells of a table
 line up in columns (a column's cells over WIDE characters aren't filled up, so padding stays in proportion to the text).
@@ -29,8 +31,16 @@ DEPTH, WIDE = 150, 80
 #: Names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist".split())
-APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre hr figure form fieldset".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas datalist".split())
+#: Not displayed inside the element of the value.
+UNSEEN_INSIDE = {
+    **dict.fromkeys("desc defs metadata symbol clippath mask pattern marker".split(), "svg"),
+    **dict.fromkeys(("annotation", "annotation-xml"), "math"),
+}
+#: Elements of SVG and MathML whose parts stand apart.
+SPACED = frozenset("svg mfrac mtable mtr".split())
+SCREEN = frozenset(("", "all", "screen", "only all", "only screen", "not print"))
+APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp hr figure form fieldset".split())
 BLOCK = APART | frozenset(
     "address article aside body center dd details dialog div dir dt figcaption footer header hgroup html legend li main menu nav option optgroup search section summary "
     "caption tr td th thead tbody tfoot colgroup select".split()
@@ -62,9 +72,9 @@ _ATTR = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _END = re.compile(r"[^>]*>?")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"[.#]?[a-zA-Z_][\w-]*")
-_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_COMMENT_OR_QUOTED = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:\\.?|[^\"\\\n])*\"?|'(?:\\.?|[^'\\\n])*'?", re.S)
+_CSS = re.compile(r"[{};]")
 
 
 class Node:
@@ -110,13 +120,19 @@ def parse(page: str) -> tuple[Node, set[str]]:
         end = _END.match(page, at)
         closed = page[at - 1] == "/" or "/" in end[0]
         at = end.end()
+        if tag in UNSEEN_INSIDE and any(x.tag == UNSEEN_INSIDE[tag] for x in stack):
+            attrs["hidden"] = ""
+        elif tag == "text" and any(x.tag == "svg" for x in stack):  # a label of a drawing
+            attrs["svg"] = ""
         node = _open(stack, tag, attrs)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             raw = page[at : stop.start() if stop else size]
             at = _END.match(page, stop.end()).end() if stop else size
             if tag == "style":
-                hidden |= _hidden_selectors(raw)
+                hidden |= _hidden_selectors(raw) if _on_screen(attrs.get("media", "")) else set()
+            elif tag == "xmp":
+                node.kids.append(raw)
             elif tag == "textarea" and raw:
                 node.kids.append(html.unescape(raw))
         elif tag not in VOID and not (closed and tag not in BLOCK) and len(stack) < DEPTH:
@@ -161,11 +177,33 @@ def _close(stack: list[Node], tag: str) -> None:
             return
 
 
+def _on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on every screen."""
+    return any(" ".join(x.lower().split()) in SCREEN for x in media.split(","))
+
+
 def _hidden_selectors(sheet: str) -> set[str]:
-    out = set()
-    for names, body in _RULE.findall(_COMMENT.sub("", sheet)):
-        if _HIDDEN.search(body):
-            out |= {s for x in names.split(",") if _SIMPLE.fullmatch(s := x.strip())}
+    """The simple selectors hidden by rules that hold on every screen."""
+    out: set[str] = set()
+    sheet = _COMMENT_OR_QUOTED.sub(lambda m: " " if m[0][0] == "/" else '""', sheet)
+    # for each open block: the selectors of a rule that holds, "" for a group of rules that hold, None for all others
+    blocks: list[str | None] = []
+    at = 0
+    for m in _CSS.finditer(sheet):
+        said, at = sheet[at : m.start()].strip(), m.end()
+        if m[0] == "{":
+            if blocks and blocks[-1] != "":
+                blocks.append(None)
+            elif said.startswith("@"):
+                media = re.match(r"@media\b", said, re.I)
+                blocks.append("" if media and _on_screen(said[media.end() :]) else None)
+            else:
+                blocks.append(said or None)
+            continue
+        if blocks and blocks[-1] and _HIDDEN.search(said):
+            out |= {s for x in blocks[-1].split(",") if _SIMPLE.fullmatch(s := x.strip())}
+        if m[0] == "}" and blocks:
+            blocks.pop()
     return out
 
 
@@ -236,17 +274,26 @@ def _element(node: Node, hidden: set[str], page: _Page) -> None:
     elif tag == "input":
         if node.attrs.get("type", "").lower() in ("submit", "button", "reset", "text", "search", "") and node.attrs.get("value"):
             page.text(f" {node.attrs['value']} ")
-    elif tag in ("pre", "textarea"):
-        page.brk(2 if tag == "pre" else 1)
+    elif tag in ("pre", "textarea", "xmp"):
+        page.brk(1 if tag == "textarea" else 2)
         raw = _raw(node, hidden).replace("\r\n", "\n").replace("\r", "\n").expandtabs(8)
         lines = raw.removeprefix("\n").split("\n")
         while lines and not lines[-1].strip():
             lines.pop()
         if lines:
             page.add([x.rstrip() for x in lines])
-        page.brk(2 if tag == "pre" else 1)
+        page.brk(1 if tag == "textarea" else 2)
     elif tag == "hr":
         page.brk(2)
+    elif tag in SPACED:
+        for kid in node.kids:
+            page.text(" ")
+            _flow([kid], hidden, page)
+        page.text(" ")
+    elif tag == "text" and "svg" in node.attrs:
+        page.text(" ")
+        _flow(node.kids, hidden, page)
+        page.text(" ")
     elif tag == "table":
         page.brk(2)
         if lines := _table(node, hidden):
@@ -351,7 +398,10 @@ def _table(node: Node, hidden: set[str]) -> list[str]:
     for line in cells:
         if any(line):
             for k in range(max(1, max(map(len, line)))):
-                out.append(" | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(line, width)).rstrip(" |"))
+                parts = [c[k] if k < len(c) else "" for c in line]
+                while parts and not parts[-1]:
+                    parts.pop()
+                out.append(" | ".join(x.ljust(w) for x, w in zip(parts, width)).rstrip(" "))
     return [x for x in out if x]
 
 

@@ -96,3 +96,31 @@ def test_edges(spark):
     out = extract_text(df)
     assert out.columns == ["page_id", "text"] and sorted(map(tuple, out.collect()), key=str) == [(1, "a"), (1, "a"), (None, "")]
     assert extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<style>@media print{nav,.note{display:none}} @media (max-width:600px){table{display:none}}</style><nav>a</nav><p class=note>b<table><tr><td>c</table>", "a\n\nb\n\nc"),
+        ("<style>@media screen{nav{display:none}} @media print, only  Screen {.x{color:red;display:none}} p{top:0}</style><nav>no</nav><i class=x>no</i><p>yes", "yes"),
+        ("<style>@media screen and (max-width:9px){nav{display:none}} @media screen{@media print{nav{display:none}}}</style><nav>yes</nav>", "yes"),
+        ("<style>@import url(x.css); @supports (display:grid){nav{display:none}} @font-face{font-family:x} .ad{display:none}</style><nav>yes</nav><b class=ad>no</b>", "yes"),
+        ("<style>@media print{ /* } */ a:after{content:'}'} nav{display:none} } p{content:\"{\"} #x{display:none}</style><nav>yes</nav><p id=x>no", "yes"),
+        ("<style>nav{.in{display:none} color:red}</style><nav>yes</nav>", "yes"),
+        ("<style media=print>p{display:none}</style><style media='screen'>b{display:none}</style><p>yes<b>no</b>", "yes"),
+        ("a<xmp>\n <b>x</b> &amp;\n</xmp>b", "a\n\n <b>x</b> &amp;\n\nb"),
+        ("see <svg viewBox='0 0 1 1'><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text x=1>one</text><g><text>two <tspan>three</tspan></text></g></svg>.", "see one two three ."),
+        ("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation encoding=tex>no</annotation></semantics></math> holds", "so x= 1 2 holds"),
+        ("<desc>yes</desc> a<text>b</text>c", "yes abc"),
+        ("<table><tr><td>a<td>b |<tr><td>c<td>|<td><tr><td>|</table>", "a | b |\nc | |\n|"),
+    ],
+)
+def test_all_visible_text_is_kept(page, text):
+    assert visible_text(page) == text
+
+
+def test_hard_sheets_take_no_undue_time():
+    began = time.time()
+    for sheet in ("@media screen{" * 50_000, "a{" * 50_000, "/*" * 50_000, "'" * 50_000, '"\\' * 50_000, "}" * 50_000, "@media screen{a{display:none}}" * 5000):
+        visible_text(f"<style>{sheet}</style>x")
+    assert time.time() - began < 30
