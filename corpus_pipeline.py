@@ -13,7 +13,7 @@ from ledgerline.llm.byte_bpe import digest, encode_documents, public_vocabulary
 from ledgerline.llm.common import materialize, read_table
 from ledgerline.llm.decontaminate import remove_contaminated
 from ledgerline.llm.line_dedup import dedup_lines
-from ledgerline.llm.minhash_dedup import near_duplicates
+from ledgerline.llm.minhash_dedup import BROADCAST_ROWS, near_duplicates
 from ledgerline.llm.toxicity import toxicity_score, train
 
 
@@ -32,10 +32,20 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, linked from a similarity of 0.8, the document with the smallest doc_id."""
-    gone = near_duplicates(docs, threshold=80).where(~F.col("kept")).select("__k1", "__k2").distinct()
+    """Of each group of near copies, linked from a similarity of 0.8, one row: the first by doc_id (nulls last), text hash and the
+    other columns. Texts without words are in no group and stay."""
+    near = near_duplicates(docs, threshold=80).where("n_shingles > 0")
+    rows = near.groupBy("__k1", "__k2").agg(F.first("__first").alias("first"), F.count("*").alias("c"))
+    marked = materialize(rows.where("NOT first OR c > 1"))
+    gone, again = (marked.where(w).select("__k1", "__k2") for w in ("NOT first", "first"))
     named = docs.withColumns({"__k1": F.xxhash64("doc_id"), "__k2": F.xxhash64("text")})
-    return named.join(gone.hint("shuffle_hash"), ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    left = named.join(gone.hint("shuffle_hash"), ["__k1", "__k2"], "left_anti")
+    if not (n := again.count()):
+        return left.select(*docs.columns)
+    # rows with one doc_id and text: what a whole row orders as equal is one and the same
+    again = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    once = left.join(again, ["__k1", "__k2"], "left_semi").groupBy("__k1", "__k2").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.join(again, ["__k1", "__k2"], "left_anti").select(*docs.columns).union(once.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

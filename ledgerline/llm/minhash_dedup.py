@@ -195,14 +195,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs, and __k1, __k2, hashes of its id and text that name the
-    row. threshold: percent of similarity from which two sets link."""
+    row, and __first, whether they name the component's first row by doc_id (nulls last), then text hash. threshold: percent of similarity from which two sets link."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("__k1"), F.xxhash64(text_col).alias("__k2"))
     sketched = own.withColumn("__s", _sketched(F.col("text"))).select("doc_id", "__k1", "__k2", "__s.n", "__s.cls", "__s.sig")
     base = materialize(sketched)
     classes = base.where("n > 0").groupBy("cls").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("__k1", "__k2")).alias("of"), F.first("n").alias("n"), F.first("sig").alias("sig")
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__k2", "__k1")).alias("of"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
-    nodes = materialize(classes.select(F.monotonically_increasing_id().alias("nid"), "cls", "low", "of.__k1", "of.__k2", "n", "sig"))
+    nodes = materialize(classes.select(F.monotonically_increasing_id().alias("nid"), "cls", "of", "of.__k1", "of.__k2", "n", "sig"))
 
     keyed = nodes.select("nid", F.posexplode(_keys(F.col("sig"), planned(threshold)[1])).alias("sym", "key"))
     met = materialize(keyed.join(keyed.groupBy("key").count().where("count > 1"), "key", "left_semi"))
@@ -235,11 +235,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     if not more.isEmpty():
         roots = materialize(connected_components(links.union(more)))
 
-    whole = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("cls", "low", F.coalesce("root", "nid").alias("root"))
-    lowest = whole.groupBy("root").agg(F.min("low").alias("component"))
-    known = materialize(whole.join(lowest, "root").select("cls", "component"))
+    whole = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("cls", "of", F.coalesce("root", "nid").alias("root"))
+    lowest = whole.groupBy("root").agg(F.min("of").alias("of"))
+    known = materialize(whole.drop("of").join(lowest, "root").select("cls", F.col("of.doc_id").alias("component"), F.col("of.__k1").alias("f1"), F.col("of.__k2").alias("f2")))
     discard(met, near)
-    out = base.join(known, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "__k1", "__k2")
+    first = F.coalesce((F.col("__k1") == F.col("f1")) & (F.col("__k2") == F.col("f2")), F.lit(True))
+    out = base.join(known, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "__k1", "__k2", first.alias("__first"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 

@@ -60,3 +60,17 @@ def test_near_copies_link_from_four_fifths(spark, tmp_path):
     at_85 = {i for i, _, component in brute(rows, 85) if component in (None, i)}
     out = dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, docs, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == want != at_85
+
+
+def test_one_row_of_each_group_of_near_copies(spark, tmp_path):
+    from tests.llm.test_minhash_dedup import at_similarity
+
+    (a, b), (c, e), (f, g) = (at_similarity(k, 2) for k in range(3))
+    rows = [(1, a, "y"), (1, a, "x"), (1, b, "x"), (2, b, "x"), (None, c, "x"), (None, c, "x"), (None, e, "z"), (None, f, "x"), (7, g, "x"), (1, "alone with other words here", "x")]
+    rows += [(8, "", "x"), (8, "", "x"), (9, None, "x"), (9, None, "x")]
+    stage = dict(corpus_pipeline.STAGES)["minhash_dedup"]
+    schema = "doc_id bigint, text string, source string"
+    out = sorted(map(tuple, stage(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()), key=str)
+    assert len(out) == 8 and out == sorted(map(tuple, stage(spark, spark.createDataFrame(rows[::-1], schema), str(tmp_path)).collect()), key=str)
+    assert [sum(r[1] in pair for r in out) for pair in ((a, b), (c, e), (f, g))] == [1, 1, 1]
+    assert (7, g, "x") in out and (1, a, "y") not in out and rows[9] in out and out.count((8, "", "x")) == out.count((9, None, "x")) == 2
