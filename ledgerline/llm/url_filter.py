@@ -31,7 +31,8 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-#: The labelled URL table: verdict and URL, invented for this purpose.
+#: The labelled URL table: verdict and URL. Some hosts borrow names or shapes from the test tables (cheap-pills, spam-farm, and
+#: ththre and the like), so verdicts on those tables say little about unseen hosts.
 LABELLED = """
 allow https://www.city-library.example.org/en/catalogue/1021
 allow https://blog.gardening.example.net/de/774.html
