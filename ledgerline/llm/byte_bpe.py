@@ -1,14 +1,13 @@
 """Byte-level BPE encoding and decoding in numpy.
 
-A text is cut at single spaces where that can't change what the tokenizer's pattern matches; the distinct cuts of a
-batch are split by the pattern, and the distinct pieces are put in byte matrices by length, one padded row a piece.
-Each round, every row merges its leftmost pair of minimum rank; pair ranks come from an open-addressing hash table held
-in arrays. Finished rows leave the matrix, and columns that no row needs are cut.
+A text is cut at single spaces where the pattern is known to allow it; the distinct cuts of a batch are split by the
+pattern, and the distinct pieces, of whatever length, are put in byte matrices by length, one padded row a piece. Each
+round, every row merges its leftmost pair of minimum rank; pair ranks come from an open-addressing hash table held in
+arrays. Finished rows leave the matrix, and columns that no row needs are cut.
 
-Where no pair that holds a token ranks under that token, a merge into the token never makes a pair of a lower rank, so
-all of a row's pairs of the minimum rank can go in one round, leftmost first, with the same result. That is worked out
-for each token when the tables are built; pieces over LONG bytes use it, which keeps the rounds of a piece of any
-length bounded by the vocabulary rather than by its length.
+A row whose minimum rank stands in several places takes them in one round, from the left, up to the first merge that makes
+a pair of a lower rank with a neighbour: just those that one merge after another would take, as no other pair can come
+first. So the rounds of a row that repeats itself don't grow with its length.
 
 Defined results: a null text is encoded as the empty text, which has no tokens. Texts are never cut. Special tokens
 are plain text.
@@ -26,15 +25,16 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import read_table
+from ledgerline.llm.common import fresh, read_table, small_batches
 
 NONE = np.int32(2**31 - 1)
-#: Pieces over so many bytes have a matrix of their own.
-LONG = 64
 #: Distinct cuts that a worker remembers between batches, at most, and the longest of them in characters.
 CACHE, CACHED_CHARS = 400_000, 64
-#: Rows of one matrix, at most.
-ROWS = 1 << 14
+#: Cells of one matrix, at most, unless a single piece has more bytes.
+CELLS = 1 << 19
+#: Fixed value: patterns in which nothing matches over a single space between two other characters, and a space goes with what
+#: follows it. Texts are split whole by any other pattern.
+SPACES_LEAD = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
 #: White space on both sides of a space, or at one side and the text's end at the other.
 JOINED = regex.compile(r"[\s\x1c-\x1f] (?=[\s\x1c-\x1f]|$)|^ [\s\x1c-\x1f]|  ")
 
@@ -92,9 +92,7 @@ class ByteBPE:
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, merged = np.array(pairs, np.int64).reshape(-1, 3).T
         self.pairs = PairTable(left, right, merged.astype(np.int32))
-        #: Tokens that take part in no pair ranking under them.
-        self.ordered = np.ones(len(self.tokens), bool)
-        self.ordered[left[merged < left]] = self.ordered[right[merged < right]] = False
+        self.spaces_lead = pattern in SPACES_LEAD
         self.cache: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -102,9 +100,9 @@ class ByteBPE:
         return self.encode_batch([text])[0]
 
     def cuts(self, text: str) -> list[str]:
-        """text in parts which the pattern splits as it splits the whole. A space between two other characters belongs to
-        what follows; only next to more white space does it matter what stands on its other side."""
-        if JOINED.search(text):
+        """text in parts which the pattern splits as it splits the whole. Under a pattern of SPACES_LEAD a space between two other
+        characters belongs to what follows; only next to more white space does it matter what stands on its other side."""
+        if not self.spaces_lead or JOINED.search(text):
             return self.split(text)
         parts = text.split(" ")
         return [parts[0], *map(" ".__add__, parts[1:])] if parts[0] else list(map(" ".__add__, parts[1:]))
@@ -131,71 +129,74 @@ class ByteBPE:
         order = np.argsort(size, kind="stable")
         start = int(np.searchsorted(size[order], 1))  # empty pieces have no ids
         while start < len(order):
-            width = int(size[order[start]])
-            if width > LONG:
-                i = int(order[start])
-                out[i] = self._merge_long(pieces[i]).astype("<u4").tobytes()
-                start += 1
-                continue
-            # lengths up to a power of two share a matrix
-            end = min(start + ROWS, int(np.searchsorted(size[order], 1 << (width - 1).bit_length(), side="right")))
+            # lengths up to a power of two share a matrix, of so many rows that its cells are bounded
+            top = 1 << (int(size[order[start]]) - 1).bit_length()
+            end = min(start + max(1, CELLS // top), int(np.searchsorted(size[order], top, side="right")))
             rows = order[start:end]
             wide = int(size[rows[-1]])
             flat = np.frombuffer(b"".join(pieces[i] for i in rows), np.uint8)
             ids = np.full((len(rows), wide), -1, np.int32)
             ids[np.arange(wide) < size[rows][:, None]] = self.byte_ids[flat]
-            self._merge_matrix(ids, rows, out)
+            self._merge_matrix(ids, size[rows], rows, out)
             start = end
         return out
 
-    def _merge_matrix(self, ids: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
+    def _merge_matrix(self, ids: np.ndarray, size: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
+        """size: how many ids each row has. A round ends the rows that are through and merges in all others."""
         rank = self._rank(ids)
         while len(rows):
             best = rank.min(axis=1) if rank.shape[1] else np.full(len(rows), NONE)
             done = best == NONE
             if done.any():
-                count = (ids[done] >= 0).sum(axis=1)
                 flat = ids[done].astype("<u4")
-                for i, row, n in zip(rows[done].tolist(), flat, count.tolist()):
+                for i, row, n in zip(rows[done].tolist(), flat, size[done].tolist()):
                     out[i] = row[:n].tobytes()
-                ids, rank, rows, best = ids[~done], rank[~done], rows[~done], best[~done]
+                ids, rank, rows, best, size = ids[~done], rank[~done], rows[~done], best[~done], size[~done]
                 if not len(rows):
                     return
-                wide = int((ids >= 0).sum(axis=1).max())
+                wide = int(size.max())
                 ids, rank = ids[:, :wide], rank[:, : wide - 1]
-            at, n = rank.argmin(axis=1), np.arange(len(rows))  # the leftmost minimum
-            ids[n, at] = best
-            stay = np.ones(ids.shape, bool)
-            stay[n, at + 1] = False
-            ids = ids[stay].reshape(len(rows), -1)
-            stay = np.ones(rank.shape, bool)
-            stay[n, at] = False
-            rank = rank[stay].reshape(len(rows), -1)
-            for shift in (-1, 0):  # only the two pairs beside the merge are new
-                p = at + shift
-                ok = np.flatnonzero((p >= 0) & (p < rank.shape[1]))
-                p = p[ok]
-                rank[ok, p] = self._rank(np.stack([ids[ok, p], ids[ok, p + 1]], axis=1))[:, 0]
-
-    def _merge_long(self, piece: bytes) -> np.ndarray:
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        rank = self._rank(ids[None, :])[0]
-        while len(rank) and (best := rank.min()) != NONE:
-            at = np.flatnonzero(rank == best)
-            if self.ordered[best]:
-                run = np.r_[True, np.diff(at) != 1]  # of overlapping pairs every other one goes, from the left
-                at = at[(np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0]
-            else:
-                at = at[:1]
-            ids[at] = best
-            stay = np.ones(len(ids), bool)
-            stay[at + 1] = False
-            ids, at = ids[stay], at - np.arange(len(at))
-            rank = rank[stay[1:]] if len(ids) > 1 else rank[:0]
-            new = np.unique(np.r_[at - 1, at])
-            new = new[(new >= 0) & (new < len(rank))]
-            rank[new] = self.pairs(ids[new], ids[new + 1])
-        return ids
+            row, at = np.nonzero(rank == best[:, None])
+            if len(row) > len(rows):
+                row, at = self._in_turn(ids, best, row, at)
+            merges = np.bincount(row, minlength=len(rows))
+            ids[row, at] = best[row]
+            size = size - merges
+            wide = ids.shape[1] - int(merges.min())
+            ids, rank = self._compacted(ids, row, at + 1, merges, wide, -1), self._compacted(rank, row, at, merges, wide - 1, NONE)
+            at = at - (np.arange(len(row)) - np.searchsorted(row, row))  # where they are now
+            for p in (at - 1, at):  # only the two pairs beside a merge are new
+                ok = (p >= 0) & (p < rank.shape[1])
+                r, p = row[ok], p[ok]
+                rank[r, p] = self._rank(np.stack([ids[r, p], ids[r, p + 1]], axis=1))[:, 0]
+
+    def _in_turn(self, ids: np.ndarray, best: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all places of the minimum rank, those that one leftmost merge after another takes before a merge makes a pair
+        of a lower rank; a row's first place is always among them."""
+        n = np.arange(len(row))
+        run = np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]
+        free = (n - np.maximum.accumulate(np.where(run, n, 0))) % 2 == 0  # of overlapping pairs every other one, from the left
+        row, at = row[free], at[free]
+        new = best[row]
+        beside = np.r_[False, (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 2)]  # the token before is the one just made
+        left = np.where(beside, new, ids[row, at - 1])
+        right = ids[row, np.minimum(at + 2, ids.shape[1] - 1)]
+        lower = (at > 0) & (self.pairs(left, new) < new)
+        lower |= (at + 2 < ids.shape[1]) & (right >= 0) & (self.pairs(new, right) < new)
+        before = np.cumsum(lower) - lower
+        taken = before == before[np.searchsorted(row, row)]
+        return row[taken], at[taken]
+
+    @staticmethod
+    def _compacted(x: np.ndarray, row: np.ndarray, at: np.ndarray, gone: np.ndarray, wide: int, fill: int) -> np.ndarray:
+        """x without the cells (row, at), gone of each row, as wide columns."""
+        stay = np.ones(x.shape, bool)
+        stay[row, at] = False
+        if (gone == gone[0]).all():
+            return x[stay].reshape(len(x), -1)
+        out = np.full((len(x), wide), fill, np.int32)
+        out[np.arange(wide) < (x.shape[1] - gone)[:, None]] = x[stay]
+        return out
 
     def _rank(self, ids: np.ndarray) -> np.ndarray:
         rank = self.pairs(ids[:, :-1], ids[:, 1:])
@@ -239,12 +240,15 @@ def bpe_round_trip(text: Column, ranks: bytes, pattern: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with ids and decoded (binary, as bpe_round_trip has them). vocabulary: the rank file's path on the driver."""
+    """docs with ids and decoded (binary, as bpe_round_trip has them) in place of columns of those names. vocabulary: the
+    rank file's path on the driver."""
+    small_batches(docs.sparkSession)
+    (bpe,) = fresh(docs, "bpe")
     with open(vocabulary, "rb") as f:
         ranks = f.read()
-    both = docs.withColumn("__bpe", bpe_round_trip(F.col(text_col), ranks, pattern))
+    both = docs.withColumn(bpe, bpe_round_trip(F.col(text_col), ranks, pattern))
     rest = [c for c in docs.columns if c not in ("ids", "decoded")]
-    return both.select(*rest, F.col("__bpe.ids").alias("ids"), F.col("__bpe.decoded").alias("decoded"))
+    return both.select(*rest, F.col(f"{bpe}.ids").alias("ids"), F.col(f"{bpe}.decoded").alias("decoded"))
 
 
 def digest(encoded: DataFrame) -> DataFrame:

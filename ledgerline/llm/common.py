@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: The characters `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
+BATCH_BYTES = 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -20,9 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder for cut lineage: spark.checkpoint.dir. Where that is unset, a temporary one, but only if driver and
+    executors are one process: on a cluster no executor would see what another wrote there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = tempfile.TemporaryDirectory(prefix="ledgerline-")
         atexit.register(held.cleanup)
         found = f"file://{held.name}"
@@ -30,6 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores before those that df has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on a Python worker gets BATCH_BYTES of a table at a time, however long its texts, unless the session says less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(key).rstrip("b")
+    if not said.isdigit() or not 0 < int(said) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, rows and generated ids stay fixed,
     and a lost executor costs no recomputation."""
@@ -42,8 +64,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete materialized tables that no later plan reads."""
+    """Delete materialized tables that no later plan reads, and those that frames made by reading() read."""
     for df in frames:
+        discard(*getattr(df, "_ledgerline_reads", ()))
         path = getattr(df, "_ledgerline_path", None)
         if path:
             spark = df.sparkSession
@@ -51,6 +74,19 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, with a note of the materialized tables that it reads, for discard() once df itself is no longer needed."""
+    df._ledgerline_reads = tables
+    return df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df materialized, and the tables that it reads deleted."""
+    out = materialize(df)
+    discard(*getattr(df, "_ledgerline_reads", ()))
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(c, UPPER, UPPER.lower())

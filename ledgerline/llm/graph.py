@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, materialize
+from ledgerline.llm.common import discard, materialize, reading
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -31,11 +31,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         left = materialize(rest)
         if left.isEmpty():
             break
-    discard(*spent)
+    discard(*spent, left)
     roots = steps[0]
     for step in steps[1:]:
         roots = _follow(roots, step)
-    return roots.select("node", F.col("up").alias("root"))
+    return reading(roots.select("node", F.col("up").alias("root")), *steps)
 
 
 def _follow(pointers: DataFrame, step: DataFrame) -> DataFrame:

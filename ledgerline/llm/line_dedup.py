@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ascii_lower, materialize, read_table, sha256_hex, strip_blanks
+from ledgerline.llm.common import ascii_lower, materialize, read_table, reading, sha256_hex, strip_blanks
 
 
 #: Keys in more documents than a HOT_LINES-th of all finds, and at least LEAST_HOT documents, are broadcast.
@@ -87,12 +87,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     spread = F.when(F.col("__hot"), F.xxhash64("__k2", "__pos")).otherwise(F.col("__h1"))
     hit = keyed.withColumn("__j", spread).join(rest_, ["__j", "__h2"], "left").where(F.col("__hot") | F.col("__cold"))
     drops = hit.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set("__pos")).alias("__drops"))
-    whole = docs.select(*rest, *ident, text.alias("__text")).join(drops.hint("shuffle_hash"), ["__k1", "__k2"], "left")
+    named = [F.col(c).alias(f"c{k}") for k, c in enumerate(rest)]  # so no column of the input clashes
+    whole = docs.select(*named, *ident, text.alias("__text")).join(drops.hint("shuffle_hash"), ["__k1", "__k2"], "left")
     lines = _lines(F.col("__text"))
     kept = F.when(F.col("__drops").isNull(), F.col("__text")).otherwise(F.array_join(_keep(lines, F.col("__drops")), "\n"))
     out = {text_col: kept, "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__drops"), F.lit(0)).cast("long")}
     order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
-    return whole.select(*[out[c].alias(c) if c in out else F.col(c) for c in order])
+    return reading(whole.select(*[(out[c] if c in out else F.col(f"c{rest.index(c)}")).alias(c) for c in order]), frequent)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, materialize, read_table
+from ledgerline.llm.common import discard, materialize, read_table, reading, settled, small_batches
 from ledgerline.llm.graph import connected_components
 
 WORDS = 5
@@ -196,6 +196,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs, and __k1, __k2, hashes of its id and text that name the
     row, and __first, whether they name the component's first row by doc_id (nulls last), then text hash. threshold: percent of similarity from which two sets link."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("__k1"), F.xxhash64(text_col).alias("__k2"))
     sketched = own.withColumn("__s", _sketched(F.col("text"))).select("doc_id", "__k1", "__k2", "__s.n", "__s.cls", "__s.sig")
     base = materialize(sketched)
@@ -211,6 +212,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     if some.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     sets = materialize(own.select("__k1", "__k2", "text").join(wanted, ["__k1", "__k2"]).select("nid", _set_of(F.col("text")).alias("hashes")))
+    if sets.count() > some.count():  # rows that repeat id and text
+        repeated, sets = sets, materialize(sets.dropDuplicates(["nid"]))
+        discard(repeated)
     held = sets.select("nid", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("nid").alias("nid"), F.max("nid").alias("other"))
     lone = held.where("nid = other").groupBy("nid").count()
     able = some.join(lone, "nid", "left").select("nid", "n", F.coalesce(F.col("count"), F.lit(0)).cast("int").alias("u"), "sig")
@@ -221,7 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     star = near.join(leads, "key").where((F.col("nid") != F.col("lead.nid")) & _can_reach(threshold, F.col("n"), F.col("u"), F.col("lead.n"), F.col("lead.u")))
     pairs = star.select(F.col("lead.nid").alias("a"), F.col("nid").alias("b")).distinct()
     links = materialize(_confirmed(pairs, sets, threshold))
-    roots = materialize(connected_components(links))
+    roots = settled(connected_components(links))
 
     placed = near.join(roots, near["nid"] == roots["node"], "left").select("key", "sym", "nid", "n", "u", F.coalesce("root", "nid").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("c")).where("c1 <> c2")
@@ -231,17 +235,19 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     dealt = dealt.select("key", "sym", "nid", "n", "u", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
     rows = dealt.join(able.select("nid", "sig"), "nid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = materialize(_confirmed(materialize(rows.mapInPandas(lambda b: _across(b, threshold), "a bigint, b bigint")), sets, threshold))
+    found = materialize(rows.mapInPandas(lambda b: _across(b, threshold), "a bigint, b bigint"))
+    more = materialize(_confirmed(found, sets, threshold))
     if not more.isEmpty():
-        roots = materialize(connected_components(links.union(more)))
+        discard(roots)
+        roots = settled(connected_components(links.union(more)))
 
     whole = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("cls", "of", F.coalesce("root", "nid").alias("root"))
     lowest = whole.groupBy("root").agg(F.min("of").alias("of"))
     known = materialize(whole.drop("of").join(lowest, "root").select("cls", F.col("of.doc_id").alias("component"), F.col("of.__k1").alias("f1"), F.col("of.__k2").alias("f2")))
-    discard(met, near)
+    discard(nodes, met, near, some, sets, able, links, found, more, roots)
     first = F.coalesce((F.col("__k1") == F.col("f1")) & (F.col("__k2") == F.col("f2")), F.lit(True))
     out = base.join(known, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "__k1", "__k2", first.alias("__first"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return reading(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())), base, known)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

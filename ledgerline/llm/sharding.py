@@ -7,13 +7,13 @@ shard is permuted again by a second hash to give the slots. Only (doc_id, size,
 block counts come to the driver: max(64, rows / rows_per_block) of them, however wide the rows are.
 
 Defined results: law `rows`. A null text has size 8 and the checksum of the empty text; null and repeated doc_ids are
-allowed, and rows equal in all columns share a block and are interchangeable; with no rows the result is empty. Copies
+allowed, and rows equal in all key columns share a block and are interchangeable, unless they are so many that they are spread
+by their place in the input; with no rows the result is empty. Copies
 of a text are dealt like any other rows (a uniform shuffle can't keep them together), text_crc32 tells them.
 """
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
@@ -25,6 +25,8 @@ from ledgerline.llm.common import materialize, read_table
 
 #: numpy draws hypergeometric variates for fewer items than this.
 NUMPY_LIMIT = 10**9
+#: Keys of at least LEAST_HOT equal rows and of a HOT_KEYS-th of all rows are split; blocks whose matrix is broadcast, at most.
+HOT_KEYS, LEAST_HOT, MATRIX_BLOCKS = 10_000, 1_000, 20_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -78,39 +80,50 @@ def _dealt(*parts: Column | str, seed: int) -> Column:
 
 
 def shard_rows(rows: DataFrame, key_cols: list[str], n_shards: int = 24, seed: int = 17, rows_per_block: int = 500_000) -> DataFrame:
-    """rows with shard (int) and slot (long, gapless from 0 in each shard). rows should be narrow; key_cols seed the hashes."""
+    """rows with shard (int) and slot (long, gapless from 0 in each shard) in place of columns of those names. rows should be
+    narrow; key_cols seed the hashes."""
     spark = rows.sparkSession
     cols = [c for c in rows.columns if c not in ("shard", "slot")]
-    base = materialize(rows.select(*cols))
+    own = rows.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(cols)])  # so no name clashes with those below
+    key_cols = [f"c{cols.index(c)}" for c in key_cols]
+    base = materialize(own.withColumn("__n", F.monotonically_increasing_id()))
     total = base.count()
     n_blocks = max(64, math.ceil(total / rows_per_block))
+    # keys of very many equal rows, at most HOT_KEYS of them, are dealt by the row as well
+    least = max(LEAST_HOT, math.ceil(total / HOT_KEYS))
+    hot = base.groupBy(*[F.col(c).alias(f"h{k}") for k, c in enumerate(key_cols)]).count().where(F.col("count") >= least)
+    hot = materialize(hot.withColumn("__hot", F.lit(True)).drop("count"))
+    if not hot.isEmpty():
+        same = [F.col(c).eqNullSafe(F.col(f"h{k}")) for k, c in enumerate(key_cols)]
+        base = base.join(F.broadcast(hot), same, "left").withColumn("__n", F.when("__hot", F.col("__n"))).select(*own.columns, "__n")
+    else:
+        base = base.withColumn("__n", F.lit(None).cast("long"))
+    key_cols = [*key_cols, "__n"]
     block = F.pmod(_dealt(*key_cols, seed=seed), F.lit(n_blocks)).cast("int")
     have = {r[0]: r[1] for r in base.groupBy(block.alias("b")).count().collect()}
     cut = communication_matrix([have.get(b, 0) for b in range(n_blocks)], n_shards, seed).cumsum(axis=1)
-    matrix = (
-        spark.range(1)
-        .select(F.posexplode(F.from_json(F.lit(json.dumps(cut.tolist())), "array<array<bigint>>")))
-        .select(F.col("pos").alias("__block"), F.col("col").alias("__cut"))
-    )  # as many rows as blocks
+    # a row a block; small enough for a broadcast up to MATRIX_BLOCKS of them, joined by a shuffle beyond
+    packed = spark.createDataFrame([(b, row) for b, row in enumerate(cut.tolist())], "__block int, __cut array<bigint>")
+    matrix = F.broadcast(packed) if n_blocks <= MATRIX_BLOCKS else packed
     local = Window.partitionBy("__block").orderBy("__r1", *key_cols)
     sent = (
         base.withColumns({"__block": block, "__r1": _dealt(*key_cols, seed=seed + 1)})
         .withColumn("__place", F.row_number().over(local))
-        .join(F.broadcast(matrix), "__block")
+        .join(matrix, "__block")
         .withColumn("shard", F.size(F.filter("__cut", lambda c: c < F.col("__place"))))
     )
     n_parts = max(8, math.ceil(total / n_shards / rows_per_block))
     sent = sent.withColumn("__r2", _dealt(*key_cols, seed=seed + 2))
     # slots follow the hash; its high bits cut a shard into ordered parts of bounded size
     part = F.floor(F.shiftrightunsigned("__r2", 33).cast("double") / 2.0**31 * n_parts).cast("int")
-    sent = materialize(sent.withColumn("__part", part).select(*cols, "shard", "__part", "__r2"))
+    sent = materialize(sent.withColumn("__part", part).select(*own.columns, "__n", "shard", "__part", "__r2"))
     ahead = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sent.groupBy("shard", "__part").count().withColumn("__ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
     within = Window.partitionBy("shard", "__part").orderBy(F.shiftrightunsigned("__r2", 33), "__r2", *key_cols)
     return (
         sent.withColumn("__nth", F.row_number().over(within))
         .join(F.broadcast(sizes), ["shard", "__part"])  # n_shards * n_parts rows
-        .select(*cols, F.col("shard").cast("int").alias("shard"), (F.col("__nth") - 1 + F.col("__ahead")).cast("long").alias("slot"))
+        .select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(cols)], F.col("shard").cast("int").alias("shard"), (F.col("__nth") - 1 + F.col("__ahead")).cast("long").alias("slot"))
     )
 
 

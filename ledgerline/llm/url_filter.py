@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ascii_lower, read_table
+from ledgerline.llm.common import ascii_lower, fresh, read_table
 from ledgerline.llm.grams import hashed_grams
 
 BITS, SIZES = 16, (3, 4, 5)
@@ -170,10 +170,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labe
     labelled = labelled_urls() if labelled is None else labelled
     new = ("host", "path", "score", "rule", "verdict")
     rest = [c for c in pages.columns if c not in new]
+    (named,) = fresh(pages, "named")
     cut = pages.select(*rest, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    both = cut.withColumn("score", block_score(F.col("host"), F.col("path"), labelled)).withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
+    both = cut.withColumn("score", block_score(F.col("host"), F.col("path"), labelled)).withColumn(named, matching_rule(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
-    return both.select(*rest, "host", "path", "score", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), own).alias("verdict"))
+    return both.select(*rest, "host", "path", "score", F.col(f"{named}.rule").alias("rule"), F.coalesce(F.col(f"{named}.verdict"), own).alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

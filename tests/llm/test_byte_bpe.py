@@ -37,6 +37,21 @@ def test_random_long_pieces():
         assert CODEC.encode(text) == expected(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abcr01= é", min_size=1, max_size=300), min_size=1, max_size=20))
+def test_rows_of_all_lengths_in_one_batch(texts):
+    """Every row of a matrix ends in its own round, with several merges a round where a pair repeats."""
+    assert CODEC.merge([t.encode() for t in texts]) == [np.array(TIKTOKEN._encode_single_piece(t.encode()), "<u4").tobytes() for t in texts]
+
+
+def test_another_pattern_is_split_whole():
+    pattern = r"[a-z]+ [a-z]+|(?s:.)"
+    codec = byte_bpe.ByteBPE(open(PATH, "rb").read(), pattern)
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=CODEC.ranks, special_tokens={})
+    for text in ("ab cd ef", "one two three four", " x y"):
+        assert codec.encode(text) == np.array(other.encode_ordinary(text), "<u4").tobytes()
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHE", 10)
     texts = [f"w{k} x{k}" for k in range(50)]
@@ -47,7 +62,7 @@ def test_cache_is_bounded(monkeypatch):
 
 def test_documents(docs_of):
     rows = [(1, "Hello there, world"), (2, None), (3, ""), (3, ""), (None, "  two  spaces \n"), (5, "long " * 50_000)]
-    out = byte_bpe.digest(byte_bpe.encode_documents(docs_of(rows, extra=["ids", "__x"]), PATH, PATTERN)).collect()
+    out = byte_bpe.digest(byte_bpe.encode_documents(docs_of(rows, extra=["ids", "bpe", "_bpe", "__bpe"]), PATH, PATTERN)).collect()
     want = sorted(
         [(i, len(expected(t or "")) // 4, hashlib.sha256(expected(t or "")).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows], key=str
     )

@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -36,7 +38,7 @@ def test_each_stage_on_its_own_input(spark, small, tmp_path):
     assert {i: r.text for i, r in after.items()} == want and all(r.n_chars == len(r.text) for r in after.values())
     before, after = seen[2]
     frame = spark.createDataFrame(list(before.items()), "doc_id bigint, text string")
-    assert set(after) == {r.doc_id for r in minhash_dedup.near_duplicates(frame).where("kept").collect()}
+    assert set(after) == {r.doc_id for r in minhash_dedup.near_duplicates(frame, threshold=80).where("kept").collect()}
     before, after = seen[3]
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     hit = [bool(f) for f in decontaminate.Index(items).search_texts(list(before.values()))]
@@ -74,3 +76,34 @@ def test_one_row_of_each_group_of_near_copies(spark, tmp_path):
     assert len(out) == 8 and out == sorted(map(tuple, stage(spark, spark.createDataFrame(rows[::-1], schema), str(tmp_path)).collect()), key=str)
     assert [sum(r[1] in pair for r in out) for pair in ((a, b), (c, e), (f, g))] == [1, 1, 1]
     assert (7, g, "x") in out and (1, a, "y") not in out and rows[9] in out and out.count((8, "", "x")) == out.count((9, None, "x")) == 2
+
+
+def test_nulls_repeats_and_empty_tables(spark, small, tmp_path):
+    """Every stage and the whole run on hard rows and clashing columns, and on no rows."""
+    long = "word " * 30_000 + "end"
+    rows = [(None, None, None, None), (None, "", "en", 0), (1, "a", "en", 1), (1, "a", "en", 1), (1, None, "en", 0), (2, long, "de", len(long)), (3, " \n\n ", None, 4), (4, "x\ny", "en", 3)]
+    schema = "doc_id bigint, text string, lang string, n_chars bigint"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "'k' AS __k1", "'k' AS k1", "1 AS n_lines", "'b' AS bpe", "'t' AS __text")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, small)
+        if k < 4:
+            assert out.columns == docs.columns and all(r["__k1"] == r.k1 == "k" and r.bpe == "b" for r in out.collect())
+            assert stage(spark, docs.limit(0), small).count() == 0
+        else:
+            assert out.count() == docs.count()
+    assert dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, docs, small).where("text = 'a'").count() == 1
+    where = tmp_path / "tables"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"{where}/{name}.parquet")
+    docs.drop("__k1", "k1", "n_lines", "bpe", "__text").write.parquet(f"{where}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(where)).count() == len(rows) - 1
+
+
+def test_only_the_newest_table_stays(spark, tiny):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        pytest.skip("no folder yet")
+    path = pathlib.Path(folder.removeprefix("file://"))
+    before = set(path.glob("ledgerline-*"))
+    corpus_pipeline.run(spark, tiny)
+    assert len(set(path.glob("ledgerline-*")) - before) == 1

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -31,6 +32,67 @@ def test_separates(model):
     assert np.mean((model.scores(texts) >= 0.3) == y) > 0.98
 
 
+def slow_score(model, text):
+    """The score worked out from the definition, word by word."""
+    values = []
+    for w in (text or "").lower().split():
+        marked = f"<{w.strip(toxicity.EDGES)}>"
+        grams = [marked[k : k + n] for n in toxicity.SIZES for k in range(len(marked) - n + 1)] or [marked]
+        buckets = [hashed_grams_of(marked, g) for g in grams]
+        values.append(sum(float(model.value[b]) for b in buckets) / len(buckets))
+    if not values:
+        return 0.0
+    if len(values) <= toxicity.WINDOW:
+        peak = sum(values) / max(len(values), toxicity.LEAST)
+    else:
+        peak = max(sum(values[k : k + toxicity.WINDOW]) / toxicity.WINDOW for k in range(len(values) - toxicity.WINDOW + 1))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * (peak + model.bias) + model.shift))))
+
+
+def hashed_grams_of(marked, gram):
+    """The bucket of one n-gram, in whole numbers."""
+    h = 0
+    if len(marked) < min(toxicity.SIZES):
+        power = 1
+        for c in gram:
+            power = power * 0x100000001B3 % 2**64
+            h = (h + ord(c) * power) % 2**64
+        h = (h + 63) % 2**64
+    else:
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c)) % 2**64
+        h = (h + len(gram)) % 2**64
+    return ((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS)
+
+
+def test_scores_are_what_the_definition_gives(model):
+    texts = made(40, seed=4)[0] + [None, "", "a", "I , ! é", "idiot", "river " * 40 + "you IDIOT!", "ß 漢字 " * 9]
+    assert np.allclose(model.scores(texts), [slow_score(model, t) for t in texts], atol=1e-6)
+
+
+def test_random_single_edits_of_every_insult(model):
+    """Most texts are caught whose insults all are misspelt in ways that training never saw."""
+    rng = np.random.default_rng(9)
+    texts, y = made(600, seed=8)
+    spoilt = [" ".join(toxicity.misspelt(w, rng) if w in ("idiot", "moron", "scumbag") else w for w in t.split()) for t in texts]
+    found = model.scores(spoilt) >= 0.3
+    assert found[y == 1].mean() > 0.7 and found[y == 0].mean() < 0.03
+
+
+def test_the_sample_is_bounded_in_characters(spark, monkeypatch):
+    texts, y = made(120)
+    docs = spark.createDataFrame([(k, t * 50) for k, t in enumerate(texts)] * 2, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda t, toxic, prior=None: seen.append((t, toxic)))
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 200_000)
+    toxicity.train(docs, labels)
+    got, toxic = seen[0]
+    for k in (0, 1):
+        sizes = [len(t) for t, v in zip(got, toxic) if v == k]
+        assert sizes and sum(sizes) - max(sizes) <= 100_000 and len(set(got)) == len(got)
+
+
 def test_unseen_misspellings(model):
     said = model.scores(["the idiots and moronic scumbags went by the river to the market", "the winters and markets by the river windows"])
     assert said[0] >= 0.3 > said[1]
@@ -57,7 +119,7 @@ def test_training_and_edges(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
         assert r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 4 == 2)
     by = {r.doc_id: r for r in out}
-    assert by[None].predicted == 1 and by[1002].predicted == 0 and by[1000].score == by[1001].score < 0.3
+    assert by[None].predicted == 1 and by[1002].predicted == 0 and by[1000].score == by[1001].score == 0
     test = [(by[k].predicted, v) for k, v in enumerate(y) if by[k].held_out]
     assert np.mean([a == b for a, b in test]) > 0.95
 
@@ -85,4 +147,5 @@ def test_held_out_accuracy(spark):
     score, y = np.array(rows).T
     rank = np.argsort(np.argsort(score))
     auc = (rank[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
-    assert auc > 0.9
+    assert auc > 0.93
+    assert (score[y == 0] >= 0.3).mean() < 0.04 and (score[y == 1] >= 0.3).mean() > 0.78
