@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.byte_bpe import digest, encode_documents, public_vocabulary
-from ledgerline.llm.common import materialize, read_table
+from ledgerline.llm.common import discard, fresh, materialize, read_table, reading
 from ledgerline.llm.decontaminate import remove_contaminated
 from ledgerline.llm.line_dedup import dedup_lines
 from ledgerline.llm.minhash_dedup import BROADCAST_ROWS, near_duplicates
@@ -25,27 +25,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten documents or more share; n_chars follows the text."""
-    out = dedup_lines(docs, min_docs=10, min_chars=1)
+    out = lines = dedup_lines(docs, min_docs=10, min_chars=1)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return reading(out.select(*docs.columns), lines)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, linked from a similarity of 0.8, one row: the first by doc_id (nulls last), text hash and the
     other columns. Texts without words are in no group and stay."""
-    near = near_duplicates(docs, threshold=80).where("n_shingles > 0")
-    rows = near.groupBy("__k1", "__k2").agg(F.first("__first").alias("first"), F.count("*").alias("c"))
+    near = near_duplicates(docs, threshold=80)
+    rows = near.where("n_shingles > 0").groupBy("__k1", "__k2").agg(F.first("__first").alias("first"), F.count("*").alias("c"))
     marked = materialize(rows.where("NOT first OR c > 1"))
-    gone, again = (marked.where(w).select("__k1", "__k2") for w in ("NOT first", "first"))
-    named = docs.withColumns({"__k1": F.xxhash64("doc_id"), "__k2": F.xxhash64("text")})
-    left = named.join(gone.hint("shuffle_hash"), ["__k1", "__k2"], "left_anti")
+    discard(near)
+    keys = fresh(docs, "k1", "k2")
+    gone, again = (marked.where(w).select(F.col("__k1").alias(keys[0]), F.col("__k2").alias(keys[1])) for w in ("NOT first", "first"))
+    named = docs.withColumns({keys[0]: F.xxhash64("doc_id"), keys[1]: F.xxhash64("text")})
+    left = named.join(gone.hint("shuffle_hash"), keys, "left_anti")
     if not (n := again.count()):
-        return left.select(*docs.columns)
+        return reading(left.select(*docs.columns), marked)
     # rows with one doc_id and text: what a whole row orders as equal is one and the same
     again = F.broadcast(again) if n <= BROADCAST_ROWS else again
-    once = left.join(again, ["__k1", "__k2"], "left_semi").groupBy("__k1", "__k2").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return left.join(again, ["__k1", "__k2"], "left_anti").select(*docs.columns).union(once.select("row.*"))
+    once = left.join(again, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return reading(left.join(again, keys, "left_anti").select(*docs.columns).union(once.select("row.*")), marked)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+            before, docs = docs, materialize(out)
+            discard(out, before)  # only the newest table stays
+    return out
