@@ -4,15 +4,21 @@ The tree builder closes what HTML lets authors leave open (paragraphs, list item
 terms), ignores end tags that match nothing, and keeps script, style and other raw text out of the tree. Nested deeper
 than DEPTH, elements become siblings, as browsers do, so no input exhausts the stack.
 
-What isn't displayed is left out: head, script, style, template, noscript and the like, hidden attributes, hidden inputs,
-inline `display:none` or `visibility:hidden`, and elements that a page's own style sheet hides by tag, class or id, in a rule
-that holds on every screen: at the top level or in @media screen or all. Of SVG and MathML the text is shown, without
-descriptions, definitions and annotations.
-Everything else is emitted once, in order. Paragraph-like blocks stand apart by an empty line, other blocks by a line
-break; list items carry a bullet or number and indent by level; preformatted text keeps its spaces; the cells of a table
-line up in columns (a column's cells over WIDE characters aren't filled up, so padding stays in proportion to the text).
-
-Defined results: null and empty pages give the empty text; broken markup is text or ignored, never an error.
+What isn't displayed is left out: head, script, style, template, noscript and the like, hidden inputs, hidden attributes and
+closed dialogs, and elements with `display:none` by their inline style or the page's own style sheets. Of declarations that
+meet an element the cascade decides: `!important`, inline style, id, class, tag, later over earlier. Only rules that hold on
+every screen hide (at the top level or in @media screen or all), and only by a tag, class or id alone; any other rule that
+may show an element, on some screens or by a longer selector, keeps it. `visibility:hidden` hides an element's own text, not
+that of descendants made visible again. Of SVG and MathML the text is shown, without descriptions, definitions and
+annotations. The content of a closed `details` is one click away and is kept.
+Everything else is emitted once, in order. Paragraph-like blocks stand apart by an empty line, other blocks and nested
+lists by a line break; list items carry a bullet or number and indent by level; preformatted text keeps its spaces and empty
+lines; the cells of a table line up in columns, by their spans over columns and rows (a column's cells over WIDE characters
+aren't filled up, nor are columns left empty in a table of more than WIDE columns, so padding stays in proportion to the
+text; columns that no cell starts in take no room).
+
+Defined results: null and empty pages give the empty text; broken markup is text or ignored, never an error; a page is
+read whole in one pass, however long; rows that repeat a page and null ids stay, an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import read_table
 
 DEPTH, WIDE = 150, 80
+#: Fixed value: the widest span of columns that the HTML standard allows.
+MOST_COLUMNS = 1000
 #: Names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -39,6 +47,7 @@ UNSEEN_INSIDE = {
 }
 #: Elements of SVG and MathML whose parts stand apart.
 SPACED = frozenset("svg mfrac mtable mtr".split())
+LISTS = frozenset("ul ol menu dir".split())
 SCREEN = frozenset(("", "all", "screen", "only all", "only screen", "not print"))
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp hr figure form fieldset".split())
 BLOCK = APART | frozenset(
@@ -71,7 +80,8 @@ _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _END = re.compile(r"[^>]*>?")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
-_HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_STYLE = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_NAMES = re.compile(r"[.#]?[a-zA-Z_][\w-]*")
 _SIMPLE = re.compile(r"[.#]?[a-zA-Z_][\w-]*")
 _COMMENT_OR_QUOTED = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:\\.?|[^\"\\\n])*\"?|'(?:\\.?|[^'\\\n])*'?", re.S)
 _CSS = re.compile(r"[{};]")
@@ -84,9 +94,9 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
-def parse(page: str) -> tuple[Node, set[str]]:
-    """The tree under a root, and the simple selectors that style sheets hide."""
-    root, hidden = Node("#root", {}), set()
+def parse(page: str) -> Node:
+    """The tree of what is displayed, under a root."""
+    root, sheet = Node("#root", {}), Sheet()
     stack, at, size = [root], 0, len(page)
     while at < size:
         lt = page.find("<", at)
@@ -130,14 +140,15 @@ def parse(page: str) -> tuple[Node, set[str]]:
             raw = page[at : stop.start() if stop else size]
             at = _END.match(page, stop.end()).end() if stop else size
             if tag == "style":
-                hidden |= _hidden_selectors(raw) if _on_screen(attrs.get("media", "")) else set()
+                sheet.read(raw, attrs.get("media", ""))
             elif tag == "xmp":
                 node.kids.append(raw)
             elif tag == "textarea" and raw:
                 node.kids.append(html.unescape(raw))
         elif tag not in VOID and not (closed and tag not in BLOCK) and len(stack) < DEPTH:
             stack.append(node)
-    return root, hidden
+    _displayed(root, sheet, True, False)
+    return root
 
 
 def _open(stack: list[Node], tag: str, attrs: dict[str, str]) -> Node:
@@ -182,42 +193,104 @@ def _on_screen(media: str) -> bool:
     return any(" ".join(x.lower().split()) in SCREEN for x in media.split(","))
 
 
-def _hidden_selectors(sheet: str) -> set[str]:
-    """The simple selectors hidden by rules that hold on every screen."""
-    out: set[str] = set()
-    sheet = _COMMENT_OR_QUOTED.sub(lambda m: " " if m[0][0] == "/" else '""', sheet)
-    # for each open block: the selectors of a rule that holds, "" for a group of rules that hold, None for all others
-    blocks: list[str | None] = []
-    at = 0
-    for m in _CSS.finditer(sheet):
-        said, at = sheet[at : m.start()].strip(), m.end()
-        if m[0] == "{":
-            if blocks and blocks[-1] != "":
-                blocks.append(None)
-            elif said.startswith("@"):
-                media = re.match(r"@media\b", said, re.I)
-                blocks.append("" if media and _on_screen(said[media.end() :]) else None)
-            else:
-                blocks.append(said or None)
-            continue
-        if blocks and blocks[-1] and _HIDDEN.search(said):
-            out |= {s for x in blocks[-1].split(",") if _SIMPLE.fullmatch(s := x.strip())}
-        if m[0] == "}" and blocks:
-            blocks.pop()
+def _declared(style: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility as a block of declarations leaves them: (important, value)."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, value, important in _STYLE.findall(style):
+        new = (bool(important), value.lower())
+        if new[0] >= out.get(name.lower(), new)[0]:
+            out[name.lower()] = new
     return out
 
 
-def _seen(node: Node, hidden: set[str]) -> bool:
-    a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-        return False
-    if "style" in a and _HIDDEN.search(a["style"]):
-        return False
-    if node.tag == "dialog" and "open" not in a:
-        return False
-    if hidden and (node.tag in hidden or f"#{a.get('id')}" in hidden or any(f".{c}" in hidden for c in a.get("class", "").split())):
-        return False
-    return True
+class Sheet:
+    """What a page's style sheets say of display and visibility."""
+
+    def __init__(self):
+        #: Of a tag, class or id: property -> (important, order, value).
+        self.rules: dict[str, dict[str, tuple[bool, int, str]]] = {}
+        #: Names that some rule of another kind may show.
+        self.shown: set[str] = set()
+        self.order = 0
+
+    def read(self, sheet: str, media: str) -> None:
+        sheet = _COMMENT_OR_QUOTED.sub(lambda m: " " if m[0][0] == "/" else '""', sheet)
+        # for each open block: the selectors of a rule and whether it holds on every screen, or "" and that for a group of rules
+        blocks: list[tuple[str | None, bool]] = [("", True)] if _on_screen(media) else [("", False)]
+        at = 0
+        for m in _CSS.finditer(sheet):
+            said, at = sheet[at : m.start()].strip(), m.end()
+            if m[0] == "{":
+                group, holds = blocks[-1]
+                if group != "":
+                    blocks.append((None, False))
+                elif said.startswith("@"):
+                    rule = re.match(r"@media\b", said, re.I)
+                    media = said[rule.end() :] if rule else ""
+                    paper = all(x.split()[-1:] == ["print"] and "not" not in x for x in media.lower().split(",")) if rule else False
+                    blocks.append((None, False) if paper else ("", holds and bool(rule) and _on_screen(media)))
+                else:
+                    blocks.append((said or None, holds))
+                continue
+            if blocks[-1][0]:
+                self._add(*blocks[-1], said)
+            if m[0] == "}" and len(blocks) > 1:
+                blocks.pop()
+
+    def _add(self, selectors: str, holds: bool, said: str) -> None:
+        for name, (important, value) in _declared(said).items():
+            self.order += 1
+            for x in map(str.strip, selectors.split(",")):
+                if holds and _SIMPLE.fullmatch(x):
+                    key = x if x[0] in ".#" else x.lower()
+                    mine, new = self.rules.setdefault(key, {}), (important, self.order, value)
+                    mine[name] = max(mine.get(name, new), new)
+                elif value not in ("none", "hidden", "collapse"):
+                    self.shown.update(n if n[0] in ".#" else n.lower() for n in _NAMES.findall(re.split(r"[\s>+~]", x)[-1]))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """display and visibility of an element, where something is said of them."""
+        found: dict[str, tuple[bool, int, int, str]] = {}
+        if self.rules:
+            a = node.attrs
+            for rank, key in ((1, node.tag), *((2, f".{c}") for c in a.get("class", "").split()), (3, f"#{a.get('id', '')}")):
+                for name, (important, order, value) in self.rules.get(key, {}).items():
+                    if not (value in ("none", "hidden", "collapse") and key in self.shown):
+                        new = (important, rank, order, value)
+                        found[name] = max(found.get(name, new), new)
+        for name, (important, value) in _declared(node.attrs.get("style", "")).items() if "style" in node.attrs else ():
+            new = (important, 4, 0, value)
+            found[name] = max(found.get(name, new), new)
+        return {name: x[3] for name, x in found.items()}
+
+
+def _displayed(node: Node, sheet: Sheet, visible: bool, in_list: bool) -> None:
+    """Take out of the tree what isn't displayed, and mark lists inside lists and items whose own text isn't seen."""
+    kids: list = []
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if visible or not kid.strip():
+                kids.append(kid)
+            continue
+        a = kid.attrs
+        if kid.tag in UNSEEN or (kid.tag == "input" and a.get("type", "").lower() == "hidden"):
+            continue
+        said = sheet.of(kid) if sheet.rules or "style" in a else {}
+        display = said.get("display")
+        if display == "none" or (display is None and ("hidden" in a or (kid.tag == "dialog" and "open" not in a))):
+            continue
+        shows = said.get("visibility")
+        seen = shows == "visible" or (visible and shows not in ("hidden", "collapse"))
+        if not seen:
+            if kid.tag == "input":
+                continue
+            a["#unseen"] = ""
+        if in_list and kid.tag in LISTS:
+            a["#nested"] = ""
+        if kid.kids:
+            _displayed(kid, sheet, seen, in_list or kid.tag in LISTS)
+        kids.append(kid)
+    node.kids = kids
 
 
 class _Page:
@@ -249,22 +322,22 @@ class _Page:
         self.gap = max(self.gap, gap)
 
 
-def _flow(kids: list, hidden: set[str], page: _Page) -> None:
+def _flow(kids: list, page: _Page) -> None:
     for kid in kids:
         if isinstance(kid, str):
             page.text(kid)
-        elif _seen(kid, hidden):
-            _element(kid, hidden, page)
+        else:
+            _element(kid, page)
 
 
-def _lines(kids: list, hidden: set[str]) -> list[str]:
+def _lines(kids: list) -> list[str]:
     page = _Page()
-    _flow(kids, hidden, page)
+    _flow(kids, page)
     page.end_run()
     return page.lines
 
 
-def _element(node: Node, hidden: set[str], page: _Page) -> None:
+def _element(node: Node, page: _Page) -> None:
     tag = node.tag
     if tag == "br":
         if "".join(page.run).strip():
@@ -276,7 +349,7 @@ def _element(node: Node, hidden: set[str], page: _Page) -> None:
             page.text(f" {node.attrs['value']} ")
     elif tag in ("pre", "textarea", "xmp"):
         page.brk(1 if tag == "textarea" else 2)
-        raw = _raw(node, hidden).replace("\r\n", "\n").replace("\r", "\n").expandtabs(8)
+        raw = _raw(node).replace("\r\n", "\n").replace("\r", "\n").expandtabs(8)
         lines = raw.removeprefix("\n").split("\n")
         while lines and not lines[-1].strip():
             lines.pop()
@@ -288,58 +361,59 @@ def _element(node: Node, hidden: set[str], page: _Page) -> None:
     elif tag in SPACED:
         for kid in node.kids:
             page.text(" ")
-            _flow([kid], hidden, page)
+            _flow([kid], page)
         page.text(" ")
     elif tag == "text" and "svg" in node.attrs:
         page.text(" ")
-        _flow(node.kids, hidden, page)
+        _flow(node.kids, page)
         page.text(" ")
     elif tag == "table":
         page.brk(2)
-        if lines := _table(node, hidden):
+        if lines := _table(node):
             page.add(lines)
         page.brk(2)
-    elif tag in ("ul", "ol", "menu", "dir"):
-        page.brk(2)
-        if lines := _list(node, hidden):
+    elif tag in LISTS:
+        gap = 1 if "#nested" in node.attrs else 2
+        page.brk(gap)
+        if lines := _list(node):
             page.add(lines)
-        page.brk(2)
+        page.brk(gap)
     elif tag in ("blockquote", "dd"):
         page.brk(2 if tag == "blockquote" else 1)
-        if lines := _lines(node.kids, hidden):
+        if lines := _lines(node.kids):
             page.add([f"  {x}" if x else x for x in lines])
         page.brk(2 if tag == "blockquote" else 1)
     elif tag in BLOCK:
         gap = 2 if tag in APART else 1
         page.brk(gap)
-        _flow(node.kids, hidden, page)
+        _flow(node.kids, page)
         page.brk(gap)
     else:
-        _flow(node.kids, hidden, page)
+        _flow(node.kids, page)
 
 
-def _raw(node: Node, hidden: set[str]) -> str:
-    return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else _raw(k, hidden) if _seen(k, hidden) else "" for k in node.kids)
+def _raw(node: Node) -> str:
+    return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else _raw(k) for k in node.kids)
 
 
-def _list(node: Node, hidden: set[str]) -> list[str]:
+def _list(node: Node) -> list[str]:
     start = node.attrs.get("start", "1")
     out, n = [], int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     loose: list = []
 
     def rest() -> None:
         if loose:
-            out.extend(_lines(loose, hidden))
+            out.extend(_lines(loose))
             loose.clear()
 
     for kid in node.kids:
         if isinstance(kid, Node) and kid.tag == "li":
             rest()
-            if _seen(kid, hidden):
-                mark = f"{n}. " if node.tag == "ol" else "- "
-                lines = [x for x in _lines(kid.kids, hidden) if x] or [""]
+            mark = f"{n}. " if node.tag == "ol" else "- "
+            lines = _lines(kid.kids) or ([] if "#unseen" in kid.attrs else [""])
+            if lines:
                 out.append((mark + lines[0]).rstrip())
-                out += [" " * len(mark) + x for x in lines[1:]]
+                out += [" " * len(mark) + x if x else "" for x in lines[1:]]
             n += 1
         else:
             loose.append(kid)
@@ -347,7 +421,7 @@ def _list(node: Node, hidden: set[str]) -> list[str]:
     return out
 
 
-def _rows(kids: list, hidden: set[str], caption: list[str], foot: list) -> list[list[Node]]:
+def _rows(kids: list, caption: list[str], foot: list) -> list[list[Node]]:
     rows: list[list[Node]] = []
     loose: list[Node] = []
     for kid in kids:
@@ -358,59 +432,83 @@ def _rows(kids: list, hidden: set[str], caption: list[str], foot: list) -> list[
         if kid.tag != "tr" and kid.tag not in ("td", "th") and loose:
             rows.append(loose)
             loose = []
-        if not _seen(kid, hidden):
-            continue
         if kid.tag == "tr":
-            rows.append([c for c in kid.kids if isinstance(c, Node) and c.tag in ("td", "th") and _seen(c, hidden)])
+            rows.append([c for c in kid.kids if isinstance(c, Node) and c.tag in ("td", "th")])
             stray = [c for c in kid.kids if not (isinstance(c, Node) and c.tag in ("td", "th"))]
-            caption += _lines(stray, hidden)
+            caption += _lines(stray)
         elif kid.tag in ("td", "th"):
             loose.append(kid)
         elif kid.tag == "tfoot":
-            foot += _rows(kid.kids, hidden, caption, foot)
+            foot += _rows(kid.kids, caption, foot)
         elif kid.tag in ("thead", "tbody"):
-            rows += _rows(kid.kids, hidden, caption, foot)
+            rows += _rows(kid.kids, caption, foot)
         else:
-            caption += _lines([kid], hidden)
+            caption += _lines([kid])
     if loose:
         rows.append(loose)
     return rows
 
 
-def _table(node: Node, hidden: set[str]) -> list[str]:
+def _span(cell: Node, name: str, most: int) -> int:
+    said = cell.attrs.get(name, "1").strip()
+    return min(int(said), most) if re.fullmatch(r"\d{1,9}", said) else 1
+
+
+def _grid(rows: list[list[Node]]) -> list[list[tuple[int, Node]]]:
+    """The cells of each row with the columns they start in, past cells that reach down from rows above."""
+    out, down = [], []  # down: (first column, column after the last, rows to go)
+    for k, row in enumerate(rows):
+        line, at, new, held = [], 0, [], 0
+        for cell in row:
+            while held < len(down) and down[held][0] <= at:
+                at = max(at, down[held][1])
+                held += 1
+            line.append((at, cell))
+            wide = max(1, _span(cell, "colspan", MOST_COLUMNS))
+            deep = _span(cell, "rowspan", len(rows) - k) or len(rows) - k  # 0: to the end
+            if deep > 1:
+                if new and new[-1][1:] == (at, deep):
+                    new[-1] = (new[-1][0], at + wide, deep)
+                else:
+                    new.append((at, at + wide, deep))
+            at += wide
+        out.append(line)
+        down = sorted((a, z, n - 1) for a, z, n in down + new if n > 1)
+    return out
+
+
+def _table(node: Node) -> list[str]:
     caption: list[str] = []
     foot: list[list[Node]] = []
-    rows = _rows(node.kids, hidden, caption, foot)
-    cells: list[list[list[str]]] = []
-    for row in rows + foot:
-        line: list[list[str]] = []
-        for cell in row:
-            line.append(_lines(cell.kids, hidden))
-            span = cell.attrs.get("colspan", "1")
-            line += [[]] * (min(int(span), 50) - 1 if re.fullmatch(r"\d{1,4}", span) else 0)
-        cells.append(line)
-    width: list[int] = []
-    for line in cells:
-        width += [0] * (len(line) - len(width))
-        for k, cell in enumerate(line):
-            width[k] = max([width[k], *(len(x) for x in cell if len(x) <= WIDE)])
-    out = list(caption)
-    for line in cells:
-        if any(line):
-            for k in range(max(1, max(map(len, line)))):
-                parts = [c[k] if k < len(c) else "" for c in line]
-                while parts and not parts[-1]:
-                    parts.pop()
-                out.append(" | ".join(x.ljust(w) for x, w in zip(parts, width)).rstrip(" "))
-    return [x for x in out if x]
+    rows = _rows(node.kids, caption, foot)
+    grid = [[(at, _lines(cell.kids)) for at, cell in line] for line in _grid(rows + foot)]
+    # a column where no cell starts takes no room
+    place = {at: k for k, at in enumerate(sorted({at for line in grid for at, _ in line}))}
+    width = [0] * len(place)
+    for line in grid:
+        for at, cell in line:
+            width[place[at]] = max([width[place[at]], *(len(x) for x in cell if len(x) <= WIDE)])
+    out = [x for x in caption if x]
+    for line in grid:
+        last = max((k for k, (_, cell) in enumerate(line) if cell), default=-1)
+        for n in range(max((len(cell) for _, cell in line), default=0)):
+            text, at = [], 0
+            for where, cell in line[: last + 1]:
+                if len(place) <= WIDE:
+                    text += [" " * width[k] for k in range(at, place[where])]
+                text.append((cell[n] if n < len(cell) else "").ljust(width[place[where]]))
+                at = place[where] + 1
+            while text and not text[-1].strip():
+                text.pop()
+            out.append(" | ".join(text).rstrip(" "))
+    return out
 
 
 def visible_text(page: str | None) -> str:
     """The page as laid-out text."""
     if not page:
         return ""
-    root, hidden = parse(page)
-    return "\n".join(_lines(root.kids, hidden)).strip("\n")
+    return "\n".join(_lines(parse(page).kids)).strip("\n")
 
 
 def html_text(source: Column) -> Column:
