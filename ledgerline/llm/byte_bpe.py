@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import fresh, read_table, small_batches
+from ledgerline.llm.common import fresh, frugal, read_table, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Distinct cuts that a worker remembers between batches, at most, and the longest of them in characters.
@@ -221,6 +221,7 @@ def bpe_round_trip(text: Column, ranks: bytes, pattern: str) -> Column:
     ids decoded. ranks: the content of the rank file, which travels with the tasks."""
 
     @F.pandas_udf("ids binary, decoded binary")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(ranks, pattern)
         for texts in batches:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +55,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which gives back to the system what its worker holds free once it has ended: workers stay while later stages,
+    which may be all JVM, need the memory."""
+
+    @functools.wraps(run)
+    def through(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return through
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, rows and generated ids stay fixed,
     and a lost executor costs no recomputation."""

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, materialize, read_table
+from ledgerline.llm.common import discard, frugal, materialize, read_table
 
 Q, EDITS, MIN_EDITS = 7, 0.10, 20
 WHOLE, LONG, STEP, SHARE = 128, 96, 32, 0.3
@@ -352,6 +352,7 @@ def _matches(text: Column, items: list[tuple[object, str | None]]) -> Column:
     packed = pickle.dumps([(None if i is None else str(i), t) for i, t in items])
 
     @F.pandas_udf(_MATCH)
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = _index(packed)
         names = ("item_id", "distance", "start", "end", "covered")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import read_table
+from ledgerline.llm.common import frugal, read_table
 
 DEPTH, WIDE = 150, 80
 #: Fixed value: the widest span of columns that the HTML standard allows.
@@ -515,6 +515,7 @@ def html_text(source: Column) -> Column:
     """visible_text of each page."""
 
     @F.pandas_udf("string")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
             yield pd.Series([visible_text(p) for p in pages], dtype=object)

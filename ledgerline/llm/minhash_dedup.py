@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, materialize, read_table, reading, settled, small_batches
+from ledgerline.llm.common import discard, frugal, materialize, read_table, reading, settled, small_batches
 from ledgerline.llm.graph import connected_components
 
 WORDS = 5
@@ -96,6 +96,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 def _sketched(text: Column) -> Column:
     @F.pandas_udf("n int, cls binary, sig binary")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             n, cls, sig = [], [], []
@@ -111,6 +112,7 @@ def _sketched(text: Column) -> Column:
 
 def _set_of(text: Column) -> Column:
     @F.pandas_udf("array<bigint>")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingles(t).view(np.int64) for t in texts])

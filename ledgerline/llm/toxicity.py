@@ -5,8 +5,8 @@ training never saw shares some of its vectors with the word it stands for. A win
 and goes into a two-class softmax. Embeddings and softmax are fitted together on a bounded sample of labelled rows, a window
 taking its document's label; after the first rounds only the highest windows of a toxic document count, as its label speaks
 of the whole. In training a share of the common words is replaced by random single-letter misspellings of theirs. N-grams
-that few sampled documents hold are left out, and of all rounds the one that does best on a fifth of the sample kept aside
-is taken. A document's score is the calibrated logit of its highest window, over every window of its whole text.
+that few sampled documents hold are left out, and of all rounds the one that does best on a fifth of the sample kept aside,
+as it is and misspelt, is taken. A document's score is the calibrated logit of its highest window, over every window of its whole text.
 
 Once trained, softmax and embeddings fold into one number a bucket, which is all that travels to the executors.
 
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import read_table, small_batches
+from ledgerline.llm.common import frugal, read_table, small_batches
 from ledgerline.llm.grams import hashed_grams
 
 BITS, SIZES = 18, (3, 4)
@@ -143,6 +143,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None, dim: in
     variant[often] = len(known) + VARIANTS * np.arange(len(often))
     spelt = known + [misspelt(known[k], rng) for k in often for _ in range(VARIANTS)]
     names, begins, grams, n_grams = _vocabulary_grams(spelt, np.r_[seen, np.zeros(len(spelt) - len(known), np.int64)], least)
+    words_spoilt = [np.where((variant[x] >= 0) & (rng.random(len(x)) < 0.5), variant[x] + rng.integers(0, VARIANTS, len(x)), x) for x in words]
     parts = [x[k : k + WINDOW] for x in words for k in range(0, max(1, len(x)), WINDOW)]
     own = np.repeat(np.arange(len(words)), [max(1, math.ceil(len(x) / WINDOW)) for x in words])
     long, inside = np.array([len(x) for x in parts]), np.concatenate(parts)
@@ -193,12 +194,14 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None, dim: in
         value = np.zeros(1 << BITS, np.float32)
         value[names] = emb @ (soft[:, 1] - soft[:, 0])
         model = ToxicityModel(value, float(bias[1] - bias[0]), 1.0, 0.0)
-        plain = begins[len(known)]
-        of = np.bincount(np.repeat(np.arange(len(known)), np.diff(begins[: len(known) + 1])), value[names][grams[:plain]], len(known)) / n_grams[: len(known)]
+        of = np.bincount(np.repeat(np.arange(len(spelt)), np.diff(begins)), value[names][grams], len(spelt)) / n_grams
         peaks = np.array([model.peak(of[x]) for x in words]) + model.bias
         slope, shift = _calibration(peaks[judge], toxic[judge], prior)
-        q = np.clip(1 / (1 + np.exp(-np.clip(slope * peaks + shift, -30, 30))), 1e-6, 1 - 1e-6)
-        lost = -(toxic * np.log(q) * prior / share + (1 - toxic) * np.log(1 - q) * (1 - prior) / (1 - share))[judge].mean()
+        spoilt = np.array([model.peak(of[words_spoilt[d]]) for d in np.flatnonzero(judge)]) + model.bias
+        lost = 0.0
+        for x in (peaks[judge], spoilt):  # as they are, and misspelt
+            q = np.clip(1 / (1 + np.exp(-np.clip(slope * x + shift, -30, 30))), 1e-6, 1 - 1e-6)
+            lost -= (toxic[judge] * np.log(q) * prior / share + (1 - toxic[judge]) * np.log(1 - q) * (1 - prior) / (1 - share)).mean()
         if lost < best:
             best, kept = lost, ToxicityModel(value, model.bias, slope, shift)
     return kept
@@ -259,6 +262,7 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
     key = hash(model.value.tobytes())
 
     @F.pandas_udf("double")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             held = texts.tolist()

@@ -57,11 +57,11 @@ def hashed_grams_of(marked, gram):
         for c in gram:
             power = power * 0x100000001B3 % 2**64
             h = (h + ord(c) * power) % 2**64
-        h = (h + 63) % 2**64
+        h = (h + 63 * 0x9E3779B97F4A7C15) % 2**64
     else:
         for c in gram:
             h = (h * 0x100000001B3 + ord(c)) % 2**64
-        h = (h + len(gram)) % 2**64
+        h = (h + len(gram) * 0x9E3779B97F4A7C15) % 2**64
     return ((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS)
 
 
