@@ -3,9 +3,10 @@
 Vectors that are equal in label and components collapse to one weighted node first. A node's normalised vector is
 projected on random directions; `hashes` quantised projections make a bucket in each of `tables` tables. Hash and table
 counts follow from the number of vectors of the largest label: buckets of about BUCKET random vectors, and a probability
-of at least `recall` for a pair exactly at the threshold to share a bucket. Every pair in a bucket is compared in double
-precision, in blocks of at most BLOCK by BLOCK, so a bucket that holds a third of all rows becomes many tasks of bounded
-size. A pair counts in the first table where it meets, which the codes at hand tell, so no pair is written out: a block
+of at least `recall` for a pair exactly at the threshold to share a bucket. Buckets are large on purpose: a table more sends
+every vector once more, while a block of a thousand is compared in one matrix product. Every pair in a bucket is compared in
+double precision, in blocks of at most BLOCK by BLOCK, so a bucket that holds a third of all rows becomes many tasks of
+bounded size. A pair counts in the first table where it meets, which the vectors tell, so no pair is written out: a block
 returns one row a vector with the links it found and one edge that keeps the block's components together.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label,
@@ -23,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, materialize, read_table
+from ledgerline.llm.common import discard, frugal, materialize, read_table, reading, small_batches
 from ledgerline.llm.graph import connected_components
 
-BUCKET, BLOCK, WIDTH = 64, 1024, 2.0
+BUCKET, BLOCK, WIDTH = 1024, 1024, 2.0
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -129,28 +130,32 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.93, recall: float =
     dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     dealt = dealt.select("nid", "grp", "tab", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
     keys = ["grp", "tab", "code", "i", "j"]
-    full = dealt.join(nodes.select("nid", "__e", "size"), "nid").join(codes, "nid")
+    full = dealt.join(nodes.select("nid", "__e", "size"), "nid")
 
+    @frugal
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches, keys):
-            unit, stack = _unit(g["__e"].tolist()), np.stack(g["codes"].to_list())
+            unit = _unit(g["__e"].tolist())
+            stack = bucket_codes(unit, hashes, tables, seed)  # cheaper worked out again than sent along
             found, root = _compare(unit, g["size"].to_numpy(), stack, int(g["tab"].iloc[0]), g["side"].to_numpy(), threshold)
             nid = g["nid"].to_numpy()
             use = (found > 0) | (root != np.arange(len(root)))
             if use.any():
                 yield pd.DataFrame({"nid": nid[use], "found": found[use], "to": nid[root][use]})
 
+    small_batches(vectors.sparkSession)
     hits = materialize(full.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compared, "nid bigint, found bigint, to bigint"))
     counts = hits.groupBy("nid").agg(F.sum("found").alias("found"))
-    roots = connected_components(hits.select(F.col("nid").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("nid"), "root")
+    linked = connected_components(hits.select(F.col("nid").alias("a"), F.col("to").alias("b")))
+    roots = linked.select(F.col("node").alias("nid"), "root")
     whole = materialize(nodes.join(roots, "nid", "left").join(counts, "nid", "left").withColumn("root", F.coalesce("root", "nid")))
     lowest = whole.groupBy("root").agg(F.min("low").alias("component"))
     known = whole.join(lowest, "root").select("__l", "__e", (F.col("size") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), "component")
     out = rows.join(known, ["__l", "__e"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
     )
-    discard(codes)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    discard(linked, hits, codes, nodes)
+    return reading(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), rows, whole)
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
