@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import discard, frugal, materialize, read_table
 
-Q, EDITS, MIN_EDITS = 7, 0.10, 20
+Q, EDITS, MIN_EDITS = 8, 0.10, 20
 WHOLE, LONG, STEP, SHARE = 128, 96, 32, 0.3
 BLOCK_CHARS = 1_000_000
 #: Characters searched at once, place where slabs start, and what they reach beyond: the longest window and its edits.
-PART, SLAB, REACH = 200_000, 1_024, 192
+PART, SLAB, REACH = 50_000, 1_024, 192
 #: Finds of q-grams held at once, and bands aligned at once.
-FINDS, TOGETHER = 2_000_000, 4_096
-_COUNT_BITS = 20
+FINDS, TOGETHER = 400_000, 4_096
+_COUNT_BITS = 17
 _MIX, _STEP_MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _SPACE = np.uint32(32)
 
