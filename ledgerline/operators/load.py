@@ -66,15 +66,21 @@ def period_order(c: Column) -> Column:
     return F.coalesce(lookup(c, PERIOD_ORDER), F.lit(99))
 
 
+def numbered(table: DataFrame, key: Sequence[str], column: str = "serial_number", order: Sequence[Column] | None = None, letters: int = 3) -> DataFrame:
+    """table with a gapless serial in the order of key. Rows are counted by the first `letters` letters of the first key
+    column; the prefixes, not the rows, are ordered in one task, and positions are found inside each prefix."""
+    part = F.coalesce(F.substring(F.col(key[0]).cast("string"), 1, letters), F.lit(""))
+    rows = table.withColumn("__part", part)
+    sizes = rows.groupBy("__part").count()
+    ahead = sizes.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    own = Window.partitionBy("__part").orderBy(*(order or [F.col(k) for k in key]))
+    out = rows.withColumn("__n", F.row_number().over(own)).join(ahead, "__part")
+    return out.withColumn(column, (F.col("__n") + F.col("__ahead")).cast("long")).select(*dict.fromkeys([*table.columns, column]))
+
+
 def renumber(table: DataFrame, column: str = "serial_number") -> DataFrame:
-    """A gapless serial in the order of code, year and period: counts per year's slice, then positions inside it, so no
-    task sorts the whole table."""
-    year = ["stock_code", "report_year"]
-    sizes = table.groupBy("stock_code").count()
-    ahead = sizes.withColumn("__ahead", F.coalesce(F.sum("count").over(Window.orderBy("stock_code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = Window.partitionBy("stock_code").orderBy("report_year", period_order(F.col("report_period")))
-    rows = table.withColumn("__n", F.row_number().over(own)).join(ahead.select("stock_code", "__ahead"), year[:1])
-    return rows.withColumn(column, (F.col("__n") + F.col("__ahead")).cast("long")).select(*dict.fromkeys([*table.columns, column]))
+    """A gapless serial in the order of code, year and period."""
+    return numbered(table, ["stock_code"], column, [F.col("stock_code"), F.col("report_year"), period_order(F.col("report_period"))])
 
 
 def method_order(c: Column) -> Column:

@@ -120,18 +120,23 @@ def missing_reasons(expected: DataFrame, key: Sequence[str], lineage: DataFrame,
 
 
 def funnel(expected: DataFrame, key: Sequence[str], lineage: DataFrame, pages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """By field: fill, lineage and recall rates, the count of each missing reason, and the most frequent one."""
-    base = expected.groupBy("field").agg(F.count("*").alias("expected_count"), F.count("value").alias("non_null_count"))
-    reasons = missing_reasons(expected, key, lineage, pages, candidates)
-    counts = reasons.groupBy("field").pivot("reason", list(REASONS)).count()
-    top = reasons.groupBy("field", "reason").count().groupBy("field").agg(F.min_by("reason", F.struct(-F.col("count"), "reason")).alias("main_reason"))
-    line = lineage.groupBy("field").agg(F.count("*").alias("lineage_count"))
-    cand = candidates.groupBy("field").agg(F.count("*").alias("candidate_count"))
-    out = base
-    for more in (line, cand, counts, top):
-        out = out.join(more, "field", "left")
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("lineage_count", "candidate_count", *REASONS)}
-    out = out.withColumns(zero)
+    """By field: fill, lineage and recall rates, the count of each missing reason, and the most frequent one. All inputs
+    meet in one aggregation by key and field, and fields in a second one."""
+    on = [*key, "field"]
+    e = expected.select(*on, F.lit(1).alias("e"), F.col("value").isNotNull().cast("int").alias("v"), "mapped", F.lit(0).alias("l"), F.lit(0).alias("c"))
+    none = F.lit(None).cast("boolean").alias("mapped")
+    li, ca = (x.select(*on, F.lit(0).alias("e"), F.lit(0).alias("v"), none, F.lit(a).alias("l"), F.lit(b).alias("c")) for x, a, b in ((lineage, 1, 0), (candidates, 0, 1)))
+    met = e.union(li).union(ca).groupBy(*on).agg(*[F.sum(x).alias(x) for x in "evlc"], F.max("mapped").alias("mapped"))
+    met = met.join(pages.select(*key).distinct().withColumn("p", F.lit(True)), list(key), "left")
+    reason = ladder((~F.col("mapped"), REASONS[0]), (F.col("l") > 0, REASONS[1]), (F.col("p").isNull(), REASONS[2]), (F.col("c") > 0, REASONS[3]), otherwise=REASONS[4])
+    gone = F.col("e") - F.col("v")
+    counts = [F.sum(F.when(reason == r, gone).otherwise(0)).alias(r) for r in REASONS]
+    out = met.groupBy("field").agg(
+        F.sum("e").alias("expected_count"), F.sum("v").alias("non_null_count"), F.sum("l").alias("lineage_count"), F.sum("c").alias("candidate_count"), *counts
+    ).where("expected_count > 0")
+    # the most frequent reason, of equals the first by name
+    ranked = F.array_sort(F.filter(F.array(*[F.struct((-F.col(r)).alias("n"), F.lit(r).alias("r")) for r in REASONS]), lambda x: x["n"] < 0))
+    out = out.withColumn("main_reason", F.get(ranked, 0)["r"])
     return out.withColumns(
         {
             "fill_rate": F.round(safe_divide(F.col("non_null_count"), F.col("expected_count")), 6),
@@ -142,8 +147,10 @@ def funnel(expected: DataFrame, key: Sequence[str], lineage: DataFrame, pages: D
 
 
 def expected_missing(dictionary: DataFrame, files: DataFrame, extracted: DataFrame) -> DataFrame:
-    """(file, field) pairs of the dictionary that no extraction has: a small dictionary times the files, then an anti join."""
-    pairs = files.crossJoin(F.broadcast(dictionary))  # the dictionary is a few dozen rows
+    """(file, field) pairs of the dictionary that no extraction has. The dictionary, by its nature a short list, becomes one
+    array that every file is exploded with, so no join makes the pairs; then an anti join."""
+    fields = dictionary.agg(F.collect_set("field").alias("f")).scalar()
+    pairs = files.select("file_id", F.explode(fields).alias("field"))
     return pairs.join(extracted.select("file_id", "field"), ["file_id", "field"], "left_anti")
 
 

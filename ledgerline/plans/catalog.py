@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.metrics import BASE, DERIVED
-from ledgerline.operators.marts import build, core_performance
+from ledgerline.operators.marts import UNFILLED, build, core_performance, report_files
 from ledgerline.plans import oracle as o
 from ledgerline.plans import templates as t
 
@@ -226,14 +226,18 @@ add(
     on(t.yoy_filter, [(REV, ">", 0), (PROFIT, ">", 0)], YEAR, "FY", [(REV, "desc"), (PROFIT, "desc")], grain="supplier"),
     _filter_sql([(REV, "> 0"), (PROFIT, "> 0")], f"{REV}__yoy DESC, {PROFIT}__yoy DESC, c.stock_code"),
 )
+_grow = lambda c: f"CASE WHEN lag(report_year) OVER w = report_year - 1 THEN round(({o.dbl(c)} - {o.dbl(f'lag({c}) OVER w')}) / nullif(abs({o.dbl(f'lag({c}) OVER w')}), 0) * 100, 4) END"
 add(
     "q23_core_mart",
-    lambda spark, sf_dir: core_performance(build(spark, sf_dir)),
-    f"""{o.marts()}, f AS (SELECT coalesce(i.stock_code, b.stock_code, c.stock_code) AS stock_code, coalesce(i.report_year, b.report_year, c.report_year) AS report_year,
-      coalesce(i.report_period, b.report_period, c.report_period) AS report_period, {REV}, {PROFIT}, equity_total_equity, operating_cf_net_amount
-      FROM income_sheet i FULL JOIN balance_sheet b ON i.stock_code = b.stock_code AND i.report_year = b.report_year FULL JOIN cash_flow_sheet c
-      ON coalesce(i.stock_code, b.stock_code) = c.stock_code AND coalesce(i.report_year, b.report_year) = c.report_year)
-    SELECT f.stock_code, report_year, report_period, stock_abbr, company_name, row_number() OVER (ORDER BY f.stock_code, report_year, report_period) AS serial_number,
-      round({o.dbl(PROFIT)} / 10000, 2) AS net_profit_10k_yuan, round({o.div(PROFIT, REV)}, 4) AS net_profit_margin, {REV}, equity_total_equity, operating_cf_net_amount
-    FROM f LEFT JOIN company_dim d ON d.stock_code = f.stock_code""",
+    lambda spark, sf_dir: core_performance(build(spark, sf_dir), report_files(spark, sf_dir)),
+    f"""{o.marts()}, i AS (SELECT *, {_grow(REV)} AS operating_revenue_yoy_growth, {_grow(PROFIT)} AS net_profit_yoy_growth FROM income_sheet WINDOW w AS (PARTITION BY stock_code, report_period ORDER BY report_year)),
+      f AS (SELECT coalesce(i.stock_code, b.stock_code, c.stock_code) AS stock_code, coalesce(i.report_year, b.report_year, c.report_year) AS report_year,
+      coalesce(i.report_period, b.report_period, c.report_period) AS report_period, {REV}, {PROFIT}, operating_expense_cost_of_sales, operating_revenue_yoy_growth, net_profit_yoy_growth, equity_total_equity, operating_cf_net_amount
+      FROM i FULL JOIN balance_sheet b ON i.stock_code = b.stock_code AND i.report_year = b.report_year FULL JOIN cash_flow_sheet c
+      ON coalesce(i.stock_code, b.stock_code) = c.stock_code AND coalesce(i.report_year, b.report_year) = c.report_year),
+      fm AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 6, '0') AS stock_code, year(o_orderdate) AS report_year, min(o_orderkey) AS file_id, min(c_nationkey)::BIGINT AS company_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P' GROUP BY ALL)
+    SELECT file_id, company_id, f.stock_code, f.report_year, report_period, stock_abbr, company_name, row_number() OVER (ORDER BY f.stock_code, f.report_year, report_period) AS serial_number,
+      {', '.join(f'CAST(NULL AS DECIMAL(20,4)) AS {c}' for c in UNFILLED)}, round({o.dbl(PROFIT)} / 10000, 2) AS net_profit_10k_yuan, round({o.div(f'({REV} - operating_expense_cost_of_sales)', REV)}, 4) AS gross_profit_margin,
+      round({o.div(PROFIT, REV)}, 4) AS net_profit_margin, {REV}, operating_revenue_yoy_growth, net_profit_yoy_growth, equity_total_equity, operating_cf_net_amount
+    FROM f LEFT JOIN company_dim d ON d.stock_code = f.stock_code LEFT JOIN fm ON fm.stock_code = f.stock_code AND fm.report_year = f.report_year""",
 )

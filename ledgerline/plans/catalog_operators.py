@@ -201,7 +201,7 @@ def _(spark, d):
     return quality.plausible_balance(build(spark, d, "customer").balance_sheet)
 
 
-@query("dq_plausible_income", f"{o.marts('supplier')} SELECT stock_code, report_year, report_period, total_operating_revenue, operating_profit, CASE WHEN total_operating_revenue >= 100000000 AND abs(net_profit) <= 1000 THEN NULL ELSE net_profit END AS net_profit, CASE WHEN total_operating_revenue >= 100000000 AND abs(net_profit) <= 1000 THEN 'profit_too_small' ELSE '' END AS rejections FROM income_sheet")
+@query("dq_plausible_income", f"{o.marts('supplier')} SELECT stock_code, report_year, report_period, total_operating_revenue, operating_profit, operating_expense_cost_of_sales, CASE WHEN total_operating_revenue >= 100000000 AND abs(net_profit) <= 1000 THEN NULL ELSE net_profit END AS net_profit, CASE WHEN total_operating_revenue >= 100000000 AND abs(net_profit) <= 1000 THEN 'profit_too_small' ELSE '' END AS rejections FROM income_sheet")
 def _(spark, d):
     return quality.plausible_income(build(spark, d, "supplier").income_sheet)
 

@@ -68,11 +68,8 @@ def compile_spec(m: Marts, spec: QuerySpec, artifacts: dict[str, DataFrame] | No
     if s.operation == "rank_position":
         return t.rank_position(m, s.companies[0], keys[0], s.year, s.period, s.direction)
     if s.operation == "metric_filter":
-        rows = None
-        for f in s.filters:
-            one = t.threshold_filter(m, f.metric, f.operator, f.value, s.year, s.period, s.direction, s.limit or 50)
-            rows = one if rows is None else rows.join(one.select("stock_code"), "stock_code", "left_semi")
-        return rows
+        first, *also = [(f.metric, f.operator, f.value) for f in s.filters]
+        return t.threshold_filter(m, *first, s.year, s.period, s.direction, s.limit or 50, also)
     if s.operation in ("multi_metric_yoy_filter", "yoy_direction_filter_sort"):
         return t.yoy_filter(m, [(f.metric, f.operator, f.value) for f in s.filters], s.year, s.period, s.order, s.limit or 50)
     if s.operation == "set_intersection":

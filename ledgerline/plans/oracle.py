@@ -18,7 +18,8 @@ WITH company_dim AS (
 ), income_sheet AS (
   SELECT stock_code, report_year, report_period, CAST(sum(rev) AS DECIMAL(20,2)) AS total_operating_revenue,
          CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE rev * CAST(0.5 AS DECIMAL(2,1)) END) AS DECIMAL(20,2)) AS operating_profit,
-         CAST(sum(CASE WHEN l_returnflag = 'R' THEN -rev ELSE rev * CAST(0.5 AS DECIMAL(2,1)) END) AS DECIMAL(20,2)) AS net_profit
+         CAST(sum(CASE WHEN l_returnflag = 'R' THEN -rev ELSE rev * CAST(0.5 AS DECIMAL(2,1)) END) AS DECIMAL(20,2)) AS net_profit,
+         CAST(sum(rev) FILTER (WHERE l_returnflag = 'A') AS DECIMAL(20,2)) AS operating_expense_cost_of_sales
   FROM lines GROUP BY ALL
 ), cash_parts AS (
   SELECT stock_code, report_year, report_period,

@@ -1,7 +1,7 @@
 """The deterministic query catalogue: each function turns typed arguments into one lazy DataFrame.
 
-Facts are filtered before a join keeps outer rows, so year and period reach the scan; every template touches the metrics it
-is asked for and no others. Ranks of one company are counts of better rows, two-phase aggregates, rather than a window over
+Years become a range of dates at the scan, before any join or aggregation; a template reads each table once, whatever the
+number of metrics and years, and touches no other metrics than it is asked for. Ranks of one company are counts of better rows, two-phase aggregates, rather than a window over
 a single partition.
 """
 
@@ -47,26 +47,57 @@ def spine(dim: DataFrame, years: Sequence[int]) -> DataFrame:
     return dim.select("*", F.explode(F.array(*[F.lit(int(y)) for y in years])).alias("report_year"))
 
 
-def fact(m: Marts, metric: Base, period: str, years: Column | None = None) -> DataFrame:
+def fact(m: Marts, metric: Base, period: str, years: Sequence[int] | None = None) -> DataFrame:
     """(stock_code, report_year, value) of one measure."""
-    rows = m.table(metric.table).where(F.col("report_period") == period)
-    if years is not None:
-        rows = rows.where(years)
+    rows = m.table(metric.table, years).where(F.col("report_period") == period)
     return rows.select("stock_code", "report_year", F.col(metric.field).alias(metric.alias))
 
 
-def with_facts(base: DataFrame, m: Marts, keys: Sequence[str], period: str, years: Column) -> DataFrame:
-    """base (with report_year) left-joined to each table that holds a measure once; has__table tells missing records."""
-    by_table: dict[str, list[Base]] = {}
+def by_table(keys: Sequence[str]) -> dict[str, list[str]]:
+    """The measures of each table."""
+    out: dict[str, list[str]] = {}
     for k in dict.fromkeys(keys):
-        by_table.setdefault(BASE[k].table, []).append(BASE[k])
-    for table, metrics in by_table.items():
-        rows = m.table(table).where((F.col("report_period") == period) & years)
-        rows = rows.select("stock_code", "report_year", *[F.col(x.field).alias(x.alias) for x in metrics], F.lit(True).alias(f"has__{table}"))
+        out.setdefault(BASE[k].table, []).append(k)
+    return out
+
+
+def with_facts(base: DataFrame, m: Marts, keys: Sequence[str], period: str, years: Sequence[int]) -> DataFrame:
+    """base (with report_year) left-joined to each table that holds a measure once; has__table tells missing records."""
+    for table, metrics in by_table(keys).items():
+        rows = m.table(table, years).where(F.col("report_period") == period)
+        rows = rows.select("stock_code", "report_year", *[F.col(BASE[k].field).alias(BASE[k].alias) for k in metrics], F.lit(True).alias(f"has__{table}"))
         base = base.join(rows, ["stock_code", "report_year"], "left")
     return base
 
 
+def side_by_side(m: Marts, base: DataFrame, keys: Sequence[str], years: tuple[int, int], period: str, how: str = "left") -> DataFrame:
+    """base joined to each table once, with measure__c and measure__p of the second and the first year, and has__table__c and
+    has__table__p. A table is read once for both years."""
+    for table, metrics in by_table(keys).items():
+        rows = m.table(table, years).where(F.col("report_period") == period)
+        out = []
+        for tag, y in (("p", years[0]), ("c", years[1])):
+            own = F.col("report_year") == y
+            out += [F.max(F.when(own, F.col(BASE[k].field))).alias(f"{k}__{tag}") for k in metrics] + [F.max(F.when(own, True)).alias(f"has__{table}__{tag}")]
+        base = base.join(rows.groupBy("stock_code").agg(*out), "stock_code", how)  # a key's record is one row
+    return base
+
+
+def both(key: str) -> tuple[Column, Column]:
+    """Current and previous value, as side_by_side has them."""
+    return F.col(f"{key}__c"), F.col(f"{key}__p")
+
+
+def had(tag: str, *keys: str) -> Column:
+    """Whether any table of the measures has the record of that year."""
+    return reduce(lambda a, b: a | b, [F.col(f"has__{t}__{tag}").isNotNull() for t in by_table(keys)])
+
+
+def rows_of(base: DataFrame, keep: Sequence[str], items: Sequence[Sequence[Column]]) -> DataFrame:
+    """A row of base for each item, a list of named columns of equal names and types."""
+    return base.select(*keep, F.explode(F.array(*[F.struct(*x) for x in items])).alias("__i")).select(*keep, "__i.*")
+
+
 def has(*keys: str) -> Column:
     """Whether any table of the measures has the record."""
     tables = dict.fromkeys(BASE[k].table for k in keys)
@@ -85,26 +116,29 @@ def _operands(key: str) -> tuple[str, str]:
 
 
 def point(m: Marts, code: str, year: int, period: str, keys: Sequence[str]) -> DataFrame:
-    rows = with_facts(spine(companies(m, [code]), [year]), m, keys, period, F.col("report_year") == year)
+    rows = with_facts(spine(companies(m, [code]), [year]), m, keys, period, [year])
     return rows.select(*IDS, F.when(has(*keys), F.col("report_year")).alias("report_year"), F.lit(period).alias("report_period"), *[val(k) for k in keys])
 
 
+def _ratio(key: str) -> list[Column]:
+    """metric, value and status of a derived metric over a row's operands."""
+    n, d = _operands(key)
+    status = ratio_status(has(n, d), val(n), val(d))
+    return [F.lit(key).alias("metric"), F.when(status == "ok", derived_value(DERIVED[key], val(n), val(d))).alias("value"), status.alias("status")]
+
+
 def derived_point(m: Marts, code: str, year: int, period: str, keys: Sequence[str]) -> DataFrame:
-    """One row a derived metric."""
-    out = []
-    for k in keys:
-        n, d = _operands(k)
-        rows = with_facts(spine(companies(m, [code]), [year]), m, [n, d], period, F.col("report_year") == year)
-        status = ratio_status(has(n, d), val(n), val(d))
-        value = F.when(status == "ok", derived_value(DERIVED[k], val(n), val(d)))
-        out.append(rows.select("stock_code", F.lit(k).alias("metric"), "report_year", val(n).alias("numerator"), val(d).alias("denominator"), value.alias("value"), status.alias("status")))
-    return reduce(DataFrame.union, out)
+    """One row a derived metric; all operands come in one join a table."""
+    operands = [x for k in keys for x in _operands(k)]
+    rows = with_facts(spine(companies(m, [code]), [year]), m, operands, period, [year])
+    out = rows_of(rows, ["stock_code", "report_year"], [[*_ratio(k), *[val(x).alias(a) for x, a in zip(_operands(k), ("numerator", "denominator"))]] for k in keys])
+    return out.select("stock_code", "metric", "report_year", "numerator", "denominator", "value", "status")
 
 
 def trend(m: Marts, code: str, start: int, end: int, period: str, key: str) -> DataFrame:
     """Yearly rows with the summary of the series on each."""
     years = list(range(start, end + 1))
-    rows = with_facts(spine(companies(m, [code]), years), m, [key], period, F.col("report_year").between(start, end))
+    rows = with_facts(spine(companies(m, [code]), years), m, [key], period, years)
     rows = rows.select("stock_code", "report_year", val(key).alias("value"), ladder((~has(key), "missing_record"), (val(key).isNull(), "empty_value")).alias("status"))
     w = Window.partitionBy("stock_code")
     seen = F.when(F.col("status") != "missing_record", F.col("report_year"))
@@ -151,17 +185,15 @@ def series_summary(points: DataFrame, by: Sequence[str], precision: int = 2) ->
 
 def derived_points(m: Marts, codes: Sequence[str] | DataFrame, years: Sequence[int], period: str, key: str) -> DataFrame:
     """(stock_code, company_name, report_year, value, status) of a derived metric on the spine."""
-    n, d = _operands(key)
-    rows = with_facts(spine(companies(m, codes), years), m, [n, d], period, F.col("report_year").isin(list(years)))
-    status = ratio_status(has(n, d), val(n), val(d))
-    return rows.select("stock_code", "company_name", "report_year", F.when(status == "ok", derived_value(DERIVED[key], val(n), val(d))).alias("value"), status.alias("status"))
+    rows = with_facts(spine(companies(m, codes), years), m, _operands(key), period, years)
+    return rows.select("stock_code", "company_name", "report_year", *_ratio(key)[1:])
 
 
 def derived_trend(m: Marts, code: str, start: int, end: int, period: str, key: str) -> DataFrame:
     """Yearly ratios, over the years that either operand's table reports, with the shape of the series."""
     n, d = _operands(key)
-    years = F.col("report_year").between(start, end) & (F.col("stock_code") == code)
-    known = [m.table(t).where((F.col("report_period") == period) & years).select("stock_code", "report_year") for t in dict.fromkeys((BASE[n].table, BASE[d].table))]
+    years = list(range(start, end + 1))
+    known = [m.table(t, years).where((F.col("report_period") == period) & (F.col("stock_code") == code)).select("stock_code", "report_year") for t in by_table((n, d))]
     base = reduce(DataFrame.union, known).distinct()
     rows = with_facts(base, m, [n, d], period, years)
     status = ratio_status(has(n, d), val(n), val(d))
@@ -182,42 +214,32 @@ def derived_trend(m: Marts, code: str, start: int, end: int, period: str, key: s
     return rows.join(shape, "stock_code", "left")
 
 
-def _two_years(m: Marts, codes, year: int, period: str, keys: Sequence[str]) -> DataFrame:
-    """Current and previous record side by side: suffixes __c and __p."""
-    out = companies(m, codes)
-    for tag, y in (("c", year), ("p", year - 1)):
-        rows = with_facts(spine(companies(m, codes).select("stock_code"), [y]), m, keys, period, F.col("report_year") == y)
-        out = out.join(rows.select("stock_code", *[val(k).alias(f"{k}__{tag}") for k in keys], has(*keys).alias(f"has__{tag}")), "stock_code")
-    return out
-
-
 def yoy(m: Marts, codes: Sequence[str] | DataFrame, year: int, period: str, keys: Sequence[str]) -> DataFrame:
     """One row a company and metric: change and rate against the year before, with the first status that applies."""
+    rows = side_by_side(m, companies(m, codes), keys, (year - 1, year), period)
     out = []
     for k in keys:
-        rows = _two_years(m, codes, year, period, [k])
-        c, p = F.col(f"{k}__c"), F.col(f"{k}__p")
-        status = yoy_status(F.col("has__c"), c, F.col("has__p"), p)
+        c, p = both(k)
+        status = yoy_status(had("c", k), c, had("p", k), p)
         out.append(
-            rows.select(
-                "stock_code",
+            [
                 F.lit(k).alias("metric"),
                 c.alias("current_value"),
                 p.alias("previous_value"),
                 F.when(status == "ok", change(c, p)).when(status == "zero_previous_value", F.round(c.cast("double"), 2)).alias("change_abs"),
                 F.when(status == "ok", yoy_rate(c, p)).alias("yoy_rate"),
                 status.alias("status"),
-            )
+            ]
         )
-    return reduce(DataFrame.union, out)
+    return rows_of(rows, ["stock_code"], out)
 
 
 def derived_yoy(m: Marts, codes: Sequence[str] | DataFrame, year: int, period: str, key: str) -> DataFrame:
     """Change of a ratio in points of its unit."""
     n, d = _operands(key)
-    rows = _two_years(m, codes, year, period, [n, d])
-    cn, pn, cd, pd = (F.col(f"{x}__{t}") for x in (n, d) for t in "cp")
-    status = derived_yoy_status(F.col("has__c"), F.col("has__p"), cn, pn, cd, pd)
+    rows = side_by_side(m, companies(m, codes), [n, d], (year - 1, year), period)
+    (cn, pn), (cd, pd) = both(n), both(d)
+    status = derived_yoy_status(had("c", n, d), had("p", n, d), cn, pn, cd, pd)
     cur, prev = derived_value(DERIVED[key], cn, cd), derived_value(DERIVED[key], pn, pd)
     moved = F.round(cur - prev, DERIVED[key].precision)
     ok = status == "ok"
@@ -253,20 +275,18 @@ def _extremes(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def compare(m: Marts, codes: Sequence[str], year: int, period: str, keys: Sequence[str]) -> DataFrame:
-    out = []
-    for k in keys:
-        rows = with_facts(spine(companies(m, codes), [year]), m, [k], period, F.col("report_year") == year)
-        out.append(rows.select("stock_code", "company_name", F.lit(k).alias("metric"), val(k).alias("value"), ladder((~has(k), "missing_record"), (val(k).isNull(), "empty_value")).alias("status")))
-    return _extremes(reduce(DataFrame.union, out), "compare")
+    rows = with_facts(spine(companies(m, codes), [year]), m, keys, period, [year])
+    items = [[F.lit(k).alias("metric"), val(k).alias("value"), ladder((~has(k), "missing_record"), (val(k).isNull(), "empty_value")).alias("status")] for k in keys]
+    return _extremes(rows_of(rows, ["stock_code", "company_name"], items), "compare")
 
 
 def derived_compare(m: Marts, codes: Sequence[str], year: int, period: str, keys: Sequence[str]) -> DataFrame:
-    out = [derived_points(m, codes, [year], period, k).select("stock_code", "company_name", F.lit(k).alias("metric"), "value", "status") for k in keys]
-    return _extremes(reduce(DataFrame.union, out), "compare")
+    rows = with_facts(spine(companies(m, codes), [year]), m, [x for k in keys for x in _operands(k)], period, [year])
+    return _extremes(rows_of(rows, ["stock_code", "company_name"], [_ratio(k) for k in keys]), "compare")
 
 
 def compare_trend(m: Marts, codes: Sequence[str], years: Sequence[int], period: str, key: str) -> DataFrame:
-    rows = with_facts(spine(companies(m, codes), years), m, [key], period, F.col("report_year").isin(list(years)))
+    rows = with_facts(spine(companies(m, codes), years), m, [key], period, years)
     points = rows.select("stock_code", "company_name", "report_year", val(key).alias("value"), ladder((~has(key), "missing_record"), (val(key).isNull(), "empty_value")).alias("status"))
     return series_summary(points, ["stock_code", "company_name"])
 
@@ -310,16 +330,15 @@ def derived_compare_yoy(m: Marts, codes: Sequence[str], year: int, period: str,
 def _measured(m: Marts, key: str, year: int, period: str, within: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Companies whose metric is known, with `value` (ratios as fractions). Operands of one table need one scan."""
     dim = companies(m, within)
-    years = F.col("report_year") == year
     if key in BASE:
-        rows = fact(m, BASE[key], period, years).withColumnRenamed(BASE[key].alias, "value")
+        rows = fact(m, BASE[key], period, [year]).withColumnRenamed(BASE[key].alias, "value")
     else:
         n, d = _operands(key)
         if BASE[n].table == BASE[d].table:
-            rows = m.table(BASE[n].table).where((F.col("report_period") == period) & years)
+            rows = m.table(BASE[n].table, [year]).where(F.col("report_period") == period)
             rows = rows.select("stock_code", "report_year", F.col(BASE[n].field).alias("numerator"), F.col(BASE[d].field).alias("denominator"))
         else:
-            a, b = (fact(m, BASE[k], period, years).withColumnRenamed(BASE[k].alias, x) for k, x in ((n, "numerator"), (d, "denominator")))
+            a, b = (fact(m, BASE[k], period, [year]).withColumnRenamed(BASE[k].alias, x) for k, x in ((n, "numerator"), (d, "denominator")))
             rows = a.join(b, ["stock_code", "report_year"])
         rows = rows.where("numerator IS NOT NULL AND denominator IS NOT NULL AND denominator <> 0").withColumn("value", fraction(F.col("numerator"), F.col("denominator")))
     return dim.join(rows.where("value IS NOT NULL"), "stock_code")
@@ -341,12 +360,10 @@ def ranking(m: Marts, key: str, year: int, period: str, direction: str = "desc",
 
 
 def _pairs(m: Marts, key: str, first: int, last: int, period: str) -> DataFrame:
-    """Companies that report a measure in both years, the earlier one not 0."""
-    rows = fact(m, BASE[key], period, F.col("report_year").isin(first, last))
-    a = rows.where(F.col("report_year") == first).select("stock_code", F.col(BASE[key].alias).alias("start_value"))
-    b = rows.where(F.col("report_year") == last).select("stock_code", F.col(BASE[key].alias).alias("end_value"))
-    both = a.join(b, "stock_code").where("start_value IS NOT NULL AND end_value IS NOT NULL AND start_value <> 0")
-    return m.dim.join(both, "stock_code")
+    """Companies that report a measure in both years, the earlier one not 0; its table is read once."""
+    rows = side_by_side(m, m.dim, [key], (first, last), period, "inner")
+    c, p = both(key)
+    return rows.where(p.isNotNull() & c.isNotNull() & (p != 0)).select(*IDS, p.alias("start_value"), c.alias("end_value"))
 
 
 def yoy_ranking(m: Marts, key: str, year: int, period: str, direction: str = "desc", n: int = 10, signed: bool = True) -> DataFrame:
@@ -374,7 +391,7 @@ def rank_position(m: Marts, code: str, key: str, year: int, period: str, directi
 
 def top_intersection(m: Marts, year: int, period: str, n: int, first: str = "total_operating_revenue", second: str = "net_profit") -> DataFrame:
     """Companies in the top n of both measures of the income sheet, by margin."""
-    rows = m.income_sheet.where((F.col("report_year") == year) & (F.col("report_period") == period) & F.col(first).isNotNull() & F.col(second).isNotNull() & (F.col(first) != 0))
+    rows = m.table("income_sheet", [year]).where((F.col("report_period") == period) & F.col(first).isNotNull() & F.col(second).isNotNull() & (F.col(first) != 0))
     a, b = (rows.orderBy(F.col(k).desc(), "stock_code").limit(n) for k in (first, second))
     both = a.join(b.select("stock_code"), "stock_code", "left_semi")
     out = m.dim.join(both, "stock_code").select(*IDS, "report_year", "report_period", first, second, fraction(F.col(second), F.col(first)).alias("net_profit_margin"))
@@ -391,18 +408,25 @@ def percent_threshold(value: float) -> float:
     return value / 100 if abs(value) > 1 else value
 
 
-def threshold_filter(m: Marts, key: str, op: str, value: float, year: int, period: str, direction: str = "desc", n: int = 50) -> DataFrame:
-    bound = percent_threshold(value) if key in DERIVED and DERIVED[key].unit == "percent" else value
-    rows = _measured(m, key, year, period).where(_OPS[op](F.col("value").cast("double"), F.lit(float(bound))))
+def threshold_filter(m: Marts, key: str, op: str, value: float, year: int, period: str, direction: str = "desc", n: int = 50, also: Sequence[tuple[str, str, float]] = ()) -> DataFrame:
+    """Companies whose metric meets a bound, and those of also as well (metric, operator, bound); the limit comes last."""
+    bound = lambda k, v: float(percent_threshold(v) if k in DERIVED and DERIVED[k].unit == "percent" else v)
+    meets = lambda k, o, v: _measured(m, k, year, period).where(_OPS[o](F.col("value").cast("double"), F.lit(bound(k, v))))
+    rows = meets(key, op, value)
+    for more in also:
+        rows = rows.join(meets(*more).select("stock_code"), "stock_code", "left_semi")
     return ranked(rows, direction, n).select(*IDS, "report_year", F.col("value").cast("double").alias("value"))
 
 
 def yoy_filter(m: Marts, conditions: Sequence[tuple[str, str, float]], year: int, period: str, order: Sequence[tuple[str, str]] = (), n: int = 50) -> DataFrame:
     """Companies whose growth meets every condition (metric, operator, bound in percent or as a fraction)."""
-    rows = m.dim
+    rows = side_by_side(m, m.dim, [k for k, _, _ in conditions], (year - 1, year), period, "inner")
+    rates = {}
     for k, op, bound in conditions:
-        pairs = _pairs(m, k, year - 1, year, period).select("stock_code", F.round(yoy_rate(F.col("end_value"), F.col("start_value")), 4).alias(f"{k}__yoy"))
-        rows = rows.join(pairs.where(_OPS[op](F.col(f"{k}__yoy"), F.lit(float(percent_threshold(bound))))), "stock_code")
+        c, p = both(k)
+        rates[k] = F.when(c.isNotNull() & (p != 0), F.round(yoy_rate(c, p), 4))
+        rows = rows.where(_OPS[op](rates[k], F.lit(float(percent_threshold(bound)))))
+    rows = rows.select(*IDS, *[rate.alias(f"{k}__yoy") for k, rate in rates.items()])
     by = [F.col(f"{k}__yoy").desc_nulls_last() if d == "desc" else F.col(f"{k}__yoy").asc_nulls_last() for k, d in order]
     return rows.orderBy(*by, "stock_code").limit(n)
 

@@ -150,3 +150,39 @@ def test_read_only_caps_rows_outside_the_window(spark, views):
 
 def test_explain(spark):
     assert "Range" in explain(spark.range(3))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name,scans,exchanges",
+    [("q02_derived_point", 8, 10), ("q05_yoy", 4, 7), ("q05_yoy_all_customers", 3, 5), ("q18_company_set_yoy", 6, 9), ("q22_yoy_multi_filter", 3, 5), ("q14_yoy_ranking", 2, 4), ("dq_funnel", 6, 14)],
+)
+def test_each_table_is_read_once(spark, name, scans, exchanges):
+    """A mart is built once a query, whatever the number of metrics and years; its own joins are counted too."""
+    from ledgerline.plans import catalog, catalog_operators
+
+    plan = plan_of((catalog.QUERIES | catalog_operators.QUERIES)[name](spark, "/root/testdata/sf0.01"))
+    assert plan.count("FileScan") <= scans and plan.count("Exchange") <= exchanges
+
+
+@pytest.mark.parametrize("name", ["q05_yoy", "q13_ranking_base_desc", "q21_threshold_filter", "q09_compare_trend"])
+def test_years_reach_the_scan(spark, name):
+    from ledgerline.plans import catalog
+
+    plan = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.01"))
+    assert "GreaterThanOrEqual(l_shipdate" in plan or "GreaterThanOrEqual(o_orderdate" in plan
+
+
+def test_no_task_numbers_all_rows(spark):
+    from ledgerline.plans import catalog
+
+    plan = plan_of(catalog.QUERIES["q23_core_mart"](spark, "/root/testdata/sf0.01"))
+    assert plan.count("Exchange SinglePartition") <= 1  # the counts by prefix
+
+
+def test_all_conditions_come_before_the_limit(m):
+    both = spec("metric_filter", filters=(Filter("net_profit", "<", 1e12), Filter("total_operating_revenue", ">", 0)), limit=1, direction="asc")
+    assert compile_spec(m, both).count() == 1

@@ -119,7 +119,12 @@ def test_sets(m):
 
 
 def test_core_mart(m):
-    rows = core_performance(m).collect()
+    files = m.income_sheet.sparkSession.createDataFrame([(7, 1, "A", 2024, "FY", "parsed"), (5, 1, "A", 2024, "FY", "failed"), (9, 2, "A", 2024, "FY", "parsed")], f"file_id long, company_id long, {FACT}, parse_status string")
+    wide = Marts(m.dim, m.income_sheet.withColumn("operating_expense_cost_of_sales", F.lit(90).cast("decimal(20,2)")), m.balance_sheet, m.cash_flow_sheet)
+    rows = core_performance(wide, files).collect()
+    a = next(r for r in rows if (r.stock_code, r.report_year, r.report_period) == ("A", 2024, "FY"))
+    assert (a.file_id, a.company_id, a.gross_profit_margin, a.operating_revenue_yoy_growth, a.net_profit_yoy_growth, a.eps) == (7, 1, 0.4, 25.0, 400.0, None)
+    assert next(r for r in rows if (r.stock_code, r.report_year, r.report_period) == ("A", 2022, "FY")).operating_revenue_yoy_growth is None
     assert [r.serial_number for r in sorted(rows, key=lambda r: (r.stock_code, r.report_year, r.report_period))] == list(range(1, len(rows) + 1))
     assert {(r.stock_code, r.report_year): r.net_profit_margin for r in rows if r.report_period == "FY"}[("C", 2022)] is None
     assert any(r.stock_code == "D" and r.total_operating_revenue is None for r in rows)
