@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.metrics import ladder
@@ -31,16 +31,48 @@ def resolve_company(dim: DataFrame, aliases: DataFrame, text: str, terms: list[s
     return best.where("match_score > 0").orderBy(F.col("match_score").desc(), F.col("match_length").desc(), "stock_code").limit(limit)
 
 
-def match_files(files: DataFrame, aliases: DataFrame, key: str = "file_id", name: str = "file_name") -> DataFrame:
-    """Each file's company: the one with the longest alias in its name, `ambiguous` if several share that length. aliases is
-    a dictionary of names and small beside the files; Spark broadcasts it if it measures it so."""
-    hits = files.join(aliases, F.contains(F.lower(name), F.lower("alias")))
-    hits = hits.withColumn("n", F.length("alias"))
-    best = hits.groupBy(key).agg(F.max("n").alias("n"))
-    top = hits.join(best, [key, "n"]).groupBy(key).agg(F.min("stock_code").alias("stock_code"), F.countDistinct("stock_code").alias("companies"))
-    return top.select(key, F.when(F.col("companies") == 1, F.col("stock_code")).alias("stock_code"), F.when(F.col("companies") == 1, "matched").otherwise("ambiguous").alias("match_status"))
+def _substrings(text: Column, lengths: Column) -> Column:
+    """All distinct substrings of text that have one of the lengths."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(0))), lambda i: F.substr(text, i, n))
+    some = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text)))
+    return F.array_distinct(F.flatten(F.transform(some, of)))
+
+
+def match_files(files: DataFrame, aliases: DataFrame, key: str = "file_id", name: str = "file_name", code: str | None = None) -> DataFrame:
+    """Each file's company: the one of a stock code that the name or the column code holds, else the one with the longest
+    alias in its name, `ambiguous` if several share that length. Names are short: their substrings of the lengths that
+    aliases have meet the aliases by equality, so no pair that doesn't match is made."""
+    named = aliases.select(F.lower("alias").alias("alias"), "stock_code").where("alias <> ''").distinct()
+    lengths = named.agg(F.collect_set(F.length("alias")).alias("n")).scalar()
+    own = F.regexp_extract(name, r"(?<!\d)\d{6}(?!\d)", 0)
+    found = F.when(own != "", own)
+    rows = files.select(key, F.lower(name).alias("__name"), (F.coalesce(found, F.col(code)) if code else found).alias("__code"))
+    known = rows.join(named.select(F.col("stock_code").alias("__code")).distinct(), "__code", "left_semi").select(key, F.col("__code").alias("stock_code"))
+    open_ = rows.join(known.select(key), key, "left_anti")
+    hits = open_.withColumn("__n", lengths).select(key, F.explode(_substrings(F.col("__name"), F.col("__n"))).alias("alias")).join(named, "alias").withColumn("n", F.length("alias"))
+    best = hits.groupBy(key).agg(F.max(F.struct("n")).alias("top"), F.collect_set(F.struct("n", "stock_code")).alias("all"))
+    codes = F.array_distinct(F.transform(F.filter("all", lambda x: x["n"] == F.col("top.n")), lambda x: x["stock_code"]))
+    top = best.select(key, codes.alias("codes"))
+    found = top.select(key, F.when(F.size("codes") == 1, F.get("codes", 0)).alias("stock_code"), F.when(F.size("codes") == 1, "matched").otherwise("ambiguous").alias("match_status"))
+    return found.unionByName(known.select(key, "stock_code", F.lit("matched").alias("match_status")))
+
+
+#: Characters of the pieces by which items without a whole word inside are looked up.
+PIECE = 6
 
 
 def contained_items(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) where the whole item is in the text."""
-    return texts.join(items.withColumnRenamed("text", "item"), F.contains("text", "item")).select("doc_id", "item_id")
+    """(doc_id, item_id) where the whole item is in the text. A text that holds an item has the item's inner words as words
+    of its own: the longest of them, or for an item without one its first PIECE characters, is looked up by equality among
+    the text's, and only pairs that meet are compared. An empty item is in no text."""
+    named = items.select("item_id", F.col("text").alias("item")).where("item <> ''")
+    inner = F.slice(F.split("item", " "), 2, F.greatest(F.size(F.split("item", " ")) - 2, F.lit(0)))
+    longest = F.get(F.array_sort(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 0)["w"]
+    keyed = named.withColumn("key", longest)
+    by_word = keyed.where("key IS NOT NULL")
+    words = texts.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
+    met = words.join(by_word, "key").where(F.contains("text", "item")).select("doc_id", "item_id")
+    rest = keyed.where("key IS NULL").withColumn("key", F.substring("item", 1, PIECE))
+    lengths = rest.agg(F.collect_set(F.length("key")).alias("n")).scalar()
+    pieces = texts.withColumn("__n", lengths).select("doc_id", "text", F.explode(_substrings(F.col("text"), F.col("__n"))).alias("key"))
+    return met.union(pieces.join(rest, "key").where(F.contains("text", "item")).select("doc_id", "item_id"))

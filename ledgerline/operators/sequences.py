@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,41 +56,36 @@ def concat_keep_first(frames: Sequence[DataFrame], key: Sequence[str], order: Se
 
 
 def merge_labels(rows: DataFrame, page: Sequence[str], order: str, label: str, value: str) -> DataFrame:
-    """A row without a value completes the label of the row below it on its page; of rows merged in a chain the first
-    pair counts, so the pairing is decided from the top of a page."""
-    schema = rows.schema
-
-    def pair(p: pd.DataFrame) -> pd.DataFrame:
-        p, out, k = p.sort_values(order, kind="stable"), [], 0
-        held = p.to_dict("records")
-        while k < len(held):
-            row = dict(held[k])
-            if pd.isna(row[value]) and k + 1 < len(held) and not pd.isna(held[k + 1][value]):
-                row = {**held[k + 1], label: f"{row[label] or ''}{held[k + 1][label] or ''}"}
-                k += 1
-            out.append(row)
-            k += 1
-        return pd.DataFrame(out, columns=p.columns)
-
-    return rows.groupBy(*page).applyInPandas(pair, schema)
+    """A row without a value completes the label of the row below it on its page, if that has one, and gives way to it. Such
+    a row never completes two, and one that was completed has a value, so neighbours decide it alone."""
+    w = Window.partitionBy(*page).orderBy(order)
+    rows = rows.withColumns({"__above": F.lag(F.col(value).isNull()).over(w), "__label": F.lag(label).over(w), "__below": F.lead(F.col(value).isNotNull()).over(w)})
+    gone = F.col(value).isNull() & F.coalesce("__below", F.lit(False))
+    both = F.concat(F.coalesce("__label", F.lit("")), F.coalesce(label, F.lit("")))
+    return rows.where(~gone).withColumn(label, F.when(F.col(value).isNotNull() & F.coalesce("__above", F.lit(False)), both).otherwise(F.col(label))).drop("__above", "__label", "__below")
 
 
 def cluster_lines(tokens: DataFrame, page: Sequence[str], at: str, tolerance: float) -> DataFrame:
-    """tokens with a cluster number by page: sorted by position, a token joins the running centre within tolerance."""
+    """tokens with a cluster number by page: sorted by position, a token joins the running centre within tolerance. The centre
+    depends on all tokens before, so rows are streamed in order; a task holds a batch of rows and one centre."""
     schema = StructType([*tokens.schema.fields, StructField("cluster", IntegerType())])
-
-    def number(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(at, kind="stable")
-        out, centre, n, k = [], None, 0, -1
-        for x in p[at]:
-            if centre is None or abs(x - centre) > tolerance:
-                centre, n, k = x, 0, k + 1
-            n += 1
-            centre += (x - centre) / n
-            out.append(k)
-        return p.assign(cluster=pd.Series(out, index=p.index, dtype="int32"))
-
-    return tokens.groupBy(*page).applyInPandas(number, schema)
+    keys = list(page)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, centre, n, k = None, None, 0, -1
+        for rows in batches:
+            out = []
+            for where, x in zip(rows[keys].itertuples(index=False, name=None), rows[at].tolist()):
+                if where != now:
+                    now, centre, n, k = where, None, 0, -1
+                if centre is None or abs(x - centre) > tolerance:
+                    centre, n, k = x, 0, k + 1
+                n += 1
+                centre += (x - centre) / n
+                out.append(k)
+            yield rows.assign(cluster=pd.Series(out, index=rows.index, dtype="int32"))
+
+    return tokens.repartition(*keys).sortWithinPartitions(*keys, at).mapInPandas(number, schema)
 
 
 def repeated_lines(lines: DataFrame, group: str, unit: str, line: str) -> DataFrame:

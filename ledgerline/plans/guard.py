@@ -20,13 +20,65 @@ class UnsafeQuery(ValueError):
     """The statement isn't a bounded read of allowed relations."""
 
 
+def _each(seq):
+    return (seq.apply(k) for k in range(seq.length()))
+
+
 def _walk(plan):
     yield plan
-    for seq in (plan.children(), plan.innerChildren()):
-        for k in range(seq.length()):
-            child = seq.apply(k)
-            if hasattr(child, "innerChildren"):
-                yield from _walk(child)
+    for child in (*_each(plan.children()), *_each(plan.innerChildren())):
+        if hasattr(child, "innerChildren"):
+            yield from _walk(child)
+
+
+def _expressions(node):
+    open_ = list(_each(node.expressions()))
+    while open_:
+        e = open_.pop()
+        yield e
+        open_ += list(_each(e.children()))
+
+
+def _relations(plan, ctes: frozenset[str]):
+    """Whole names of the relations that aren't common table expressions where they stand. Of those, each sees only the ones
+    before it."""
+    if plan.nodeName() == "UnresolvedWith":
+        for named in _each(plan.cteRelations()):
+            yield from _relations(named._2(), ctes)
+            ctes = ctes | {named._1().lower()}
+    elif plan.nodeName() == "UnresolvedRelation":
+        parts = list(_each(plan.multipartIdentifier()))
+        if len(parts) > 1 or parts[0].lower() not in ctes:
+            yield parts
+    for child in (*_each(plan.children()), *_each(plan.innerChildren())):
+        if hasattr(child, "innerChildren") and not (plan.nodeName() == "UnresolvedWith" and child.nodeName() == "SubqueryAlias"):
+            yield from _relations(child, ctes)
+
+
+def _names(parsed) -> set[str]:
+    """The names of all functions called, with their qualifiers."""
+    found = (e for node in _walk(parsed) for e in _expressions(node) if e.getClass().getSimpleName() == "UnresolvedFunction")
+    return {".".join(_each(e.nameParts())).lower() for e in found}
+
+
+def years_missing(df: DataFrame, column: str = "report_year") -> list[str]:
+    """Tables of the analysed plan with that column which no filter on it stands above: the static check of generated SQL
+    asks for a year on each fact table."""
+
+    def visit(node, filtered: bool):
+        if node.nodeName().startswith("Filter"):
+            filtered = filtered or any(e.nodeName() == "AttributeReference" and e.name() == column for e in _expressions(node))
+        if node.nodeName() == "SubqueryAlias":
+            child = node.child()
+            if not list(_each(child.children())) or child.nodeName().startswith("View"):
+                names = [a.name() for a in _each(node.output())]
+                if column in names and not filtered:
+                    yield node.alias()
+                return
+        for child in _each(node.children()):
+            yield from visit(child, filtered)
+
+    return sorted(set(visit(df._jdf.queryExecution().analyzed(), False)))
 
 
 def review(spark: SparkSession, sql: str, tables: frozenset[str] | set[str], functions: frozenset[str] = FUNCTIONS, need_limit: bool = True) -> DataFrame:
@@ -40,14 +92,13 @@ def review(spark: SparkSession, sql: str, tables: frozenset[str] | set[str], fun
         raise UnsafeQuery("columns must be named")
     try:
         parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        for node in _walk(parsed):
-            if node.nodeName() == "UnresolvedRelation":
-                name = node.tableName()
-                if name.split(".")[-1] not in tables and name not in _ctes(parsed):
-                    raise UnsafeQuery(f"relation {name} isn't allowed")
-        for name in re.findall(r"'([a-z_0-9]+)\(", parsed.toString(), re.I):
-            if name.lower() not in functions:
-                raise UnsafeQuery(f"function {name} isn't allowed")
+        views = spark._jsparkSession.sessionState().catalog()
+        for parts in _relations(parsed, frozenset()):
+            # a whole name must be allowed, and one without a schema must be a temporary view, not whatever the schema holds
+            if ".".join(parts) not in tables or (len(parts) == 1 and not views.getRawTempView(parts[0]).isDefined()):
+                raise UnsafeQuery(f"relation {'.'.join(parts)} isn't allowed")
+        for name in sorted(_names(parsed) - functions):
+            raise UnsafeQuery(f"function {name} isn't allowed")
         df = spark.sql(sql)
     except ParseException as e:
         raise UnsafeQuery(f"not parsed: {e.getCondition()}") from e
@@ -66,10 +117,6 @@ def review(spark: SparkSession, sql: str, tables: frozenset[str] | set[str], fun
     return df
 
 
-def _ctes(parsed) -> set[str]:
-    return set(re.findall(r"CTE \[([^\]]*)\]", parsed.toString())[0].replace(" ", "").split(",")) if "CTE [" in parsed.toString() else set()
-
-
 def read_only(spark: SparkSession, sql: str, tables: set[str], limit: int = 200, timeout_s: float | None = None) -> tuple[list[str], list[tuple]]:
     """Columns and at most limit rows, in a job group that is cancelled after timeout_s."""
     import threading

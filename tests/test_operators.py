@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import similarity
 from ledgerline.functions import text as x
-from ledgerline.operators import load, quality, sequences
+from ledgerline.operators import load, matching, quality, sequences
 
 
 def one(spark, value, make, kind="string"):
@@ -130,3 +130,27 @@ def test_first_nonempty(spark):
 def test_repeated_lines(spark):
     rows = spark.createDataFrame([("f", p, s) for p in range(4) for s in ("head", f"body {p}")] + [("f", 1, "twice"), ("f", 2, "twice")], "g string, page int, line string")
     assert [r.line for r in sequences.repeated_lines(rows, "g", "page", "line").collect()] == ["head"]
+
+
+def test_contained_items_with_and_without_inner_words(spark):
+    texts = spark.createDataFrame([(1, "xabc defy and so on"), (2, "the quick brown fox"), (3, None), (4, ""), (5, "a  b")], "doc_id long, text string")
+    items = [(1, "abc def"), (2, "quick brown fox"), (3, "he quick brow"), (4, "zz"), (5, ""), (6, None), (7, "a  b"), (8, "f"), (9, "brown the quick")]
+    out = matching.contained_items(texts, spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, i) for d, t in [(r.doc_id, r.text) for r in texts.collect()] for i, x in items if t is not None and x and x in t}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_files_by_code_then_longest_alias(spark):
+    aliases = spark.createDataFrame([("Alpha", "000001"), ("Alpha Beta", "000002"), ("Gamma", "000003"), ("Delta", "000004"), ("gamma", "000005"), ("", "000006")], "alias string, stock_code string")
+    names = ["alpha beta 2020.pdf", "ALPHA.pdf", "gamma.pdf", "600000_alpha.pdf", "000004 alpha.pdf", "nothing", None, "delta alpha"]
+    files = spark.createDataFrame(list(enumerate(names)), "file_id long, file_name string")
+    got = {r.file_id: (r.stock_code, r.match_status) for r in matching.match_files(files, aliases).collect()}
+    assert got == {0: ("000002", "matched"), 1: ("000001", "matched"), 2: (None, "ambiguous"), 3: ("000001", "matched"), 4: ("000004", "matched"), 7: (None, "ambiguous")}
+
+
+def test_no_nested_loops(spark):
+    from ledgerline.plans import catalog_operators
+
+    for name in ("text_contained_items", "text_match_files", "dq_expected_missing"):
+        plan = catalog_operators.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name

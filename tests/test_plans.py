@@ -186,3 +186,44 @@ def test_no_task_numbers_all_rows(spark):
 def test_all_conditions_come_before_the_limit(m):
     both = spec("metric_filter", filters=(Filter("net_profit", "<", 1e12), Filter("total_operating_revenue", ">", 0)), limit=1, direction="asc")
     assert compile_spec(m, both).count() == 1
+
+
+def test_guard_reads_whole_names_and_every_function(spark, m):
+    for name in ("dim", "income_sheet", "balance_sheet"):
+        getattr(m, name).createOrReplaceTempView(name)
+    spark.sql("CREATE DATABASE IF NOT EXISTS other")
+    spark.sql("CREATE TABLE IF NOT EXISTS other.income_sheet (stock_code STRING) USING parquet")
+    spark.sql("CREATE TABLE IF NOT EXISTS default.secret (stock_code STRING) USING parquet")
+    allowed = {"income_sheet", "dim", "secret"}
+    try:
+        for sql in (
+            "SELECT stock_code FROM other.income_sheet LIMIT 5",
+            "SELECT stock_code FROM spark_catalog.other.income_sheet LIMIT 5",
+            "SELECT stock_code FROM secret LIMIT 5",  # allowed by name, but no temporary view
+            "SELECT stock_code FROM balance_sheet LIMIT 5",
+            "SELECT stock_code FROM income_sheet WHERE stock_code IN (SELECT stock_code FROM other.income_sheet) LIMIT 5",
+            "SELECT stock_code, (SELECT max(stock_code) FROM dim) AS x FROM income_sheet LIMIT 5",
+            "WITH a AS (SELECT stock_code FROM balance_sheet) SELECT stock_code FROM a LIMIT 5",
+            "WITH a AS (SELECT stock_code FROM b), b AS (SELECT stock_code FROM dim) SELECT stock_code FROM a LIMIT 5",
+            "SELECT reflect('java.lang.System', 'exit') AS x FROM dim LIMIT 5",
+            "SELECT stock_code FROM dim ORDER BY upper(stock_code) LIMIT 5",
+        ):
+            with pytest.raises(UnsafeQuery):
+                review(spark, sql, allowed)
+        review(spark, "WITH a AS (SELECT stock_code FROM dim), b AS (SELECT stock_code FROM a) SELECT stock_code FROM b LIMIT 5", allowed)
+        review(spark, "SELECT stock_code, count(*) AS n FROM income_sheet GROUP BY stock_code LIMIT 5", allowed)
+    finally:
+        spark.sql("DROP TABLE IF EXISTS other.income_sheet")
+        spark.sql("DROP TABLE IF EXISTS default.secret")
+        spark.sql("DROP DATABASE IF EXISTS other")
+
+
+def test_years_of_generated_sql(spark, m):
+    from ledgerline.plans.guard import years_missing
+
+    for name in ("dim", "income_sheet", "balance_sheet"):
+        getattr(m, name).createOrReplaceTempView(name)
+    assert years_missing(spark.sql("SELECT stock_code FROM income_sheet WHERE report_year = 1998 LIMIT 5")) == []
+    assert years_missing(spark.sql("SELECT stock_code FROM income_sheet LIMIT 5")) == ["income_sheet"]
+    assert years_missing(spark.sql("SELECT i.stock_code FROM income_sheet i JOIN balance_sheet b ON i.stock_code = b.stock_code WHERE i.report_period = 'FY' LIMIT 5")) == ["balance_sheet", "income_sheet"]
+    assert years_missing(spark.sql("SELECT stock_code FROM dim LIMIT 5")) == []
