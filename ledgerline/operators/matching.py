@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerline.functions.metrics import ladder
-from ledgerline.functions.text import alias_names
+from ledgerline.functions.text import alias_names, compact_text, contains_any
 
 
 def company_aliases(dim: DataFrame) -> DataFrame:
@@ -76,3 +79,36 @@ def contained_items(texts: DataFrame, items: DataFrame) -> DataFrame:
     lengths = rest.agg(F.collect_set(F.length("key")).alias("n")).scalar()
     pieces = texts.withColumn("__n", lengths).select("doc_id", "text", F.explode(_substrings(F.col("text"), F.col("__n"))).alias("key"))
     return met.union(pieces.join(rest, "key").where(F.contains("text", "item")).select("doc_id", "item_id"))
+
+
+def metric_mentions(questions: DataFrame, aliases: DataFrame, key: str = "question_id", text: str = "question") -> DataFrame:
+    """The metrics that a question names: (key, metric, alias, place), one row a metric by its longest alias found in the text
+    without blanks; longer aliases come first, then the dictionary's order. aliases: metric, alias, position."""
+    named = aliases.select("metric", "position", "alias", compact_text(F.col("alias")).alias("a")).where("a <> ''")
+    lengths = named.agg(F.collect_set(F.length("a")).alias("n")).scalar()
+    rows = questions.select(key, compact_text(F.col(text)).alias("q")).withColumn("__n", lengths)
+    hits = rows.select(key, F.explode(_substrings(F.col("q"), F.col("__n"))).alias("a")).join(named, "a")
+    best = hits.groupBy(key, "metric").agg(F.min(F.struct((-F.length("a")).alias("n"), "position", "alias")).alias("b"))
+    w = Window.partitionBy(key).orderBy("b.n", "b.position", "metric")
+    return best.select(key, "metric", F.col("b.alias").alias("alias"), F.row_number().over(w).alias("place"))
+
+
+def _alias_covers(aliases: Column, text: Column, phrase: str) -> Column:
+    return F.exists(aliases, lambda a: F.contains(a, F.lit(phrase)) & F.contains(text, a))
+
+
+def ambiguous_phrases(questions: DataFrame, mentions: DataFrame, aliases: DataFrame, rules: Mapping[str, tuple[Sequence[str], Sequence[str]]], key: str = "question_id", text: str = "question") -> DataFrame:
+    """(key, phrase) of the vague words that a question must make clear. rules: phrase -> (words that resolve it, metrics that it
+    may mean). A phrase is clear as well if one of its metrics is named, or if an alias in the question holds it."""
+    met = mentions.groupBy(key).agg(F.collect_set("metric").alias("metrics"))
+    known = aliases.groupBy("metric").agg(F.collect_set(compact_text(F.col("alias"))).alias("all"))
+    said = mentions.select(key, "metric").join(known, "metric").groupBy(key).agg(F.flatten(F.collect_list("all")).alias("all"))
+    rows = questions.select(key, compact_text(F.col(text)).alias("q")).join(met, key, "left").join(said, key, "left")
+    none = F.array().cast("array<string>")
+    out = []
+    for phrase, (resolving, metrics) in rules.items():
+        covered = _alias_covers(F.coalesce("all", none), F.col("q"), phrase)
+        named = F.arrays_overlap(F.coalesce("metrics", none), F.array(*map(F.lit, metrics)))
+        open_ = F.contains("q", F.lit(phrase)) & ~contains_any(F.col("q"), resolving) & ~covered & ~named
+        out.append(F.when(open_, F.lit(phrase)))
+    return rows.select(key, F.explode(F.array_compact(F.array(*out))).alias("phrase"))

@@ -6,12 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerline.plans import catalog, catalog_operators
+from ledgerline.plans import catalog, catalog_extraction, catalog_operators
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = catalog.QUERIES | catalog_operators.QUERIES
-SQL = catalog.ORACLE_SQL | catalog_operators.ORACLE_SQL
+QUERIES = catalog.QUERIES | catalog_operators.QUERIES | catalog_extraction.QUERIES
+SQL = catalog.ORACLE_SQL | catalog_operators.ORACLE_SQL | catalog_extraction.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
