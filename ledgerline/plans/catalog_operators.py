@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import similarity
@@ -240,7 +240,7 @@ def _(spark, d):
     return quality.distribution(table(spark, d, "documents"), "lang")
 
 
-_REASON = f"""{_LONG}, miss AS (SELECT l.stock_code, l.report_year, l.field, CASE WHEN g.field IS NOT NULL THEN 'selected_but_not_loaded' WHEN p.stock_code IS NULL THEN 'no_statement_json' WHEN c.field IS NOT NULL THEN 'candidate_exists_but_not_selected' ELSE 'no_candidate_found' END AS reason
+_REASON = f"""{_LONG}, miss AS (SELECT l.stock_code, l.report_year, l.field, CASE WHEN CAST(l.stock_code AS INT) % 11 = 0 THEN 'validation_field_mapping_issue' WHEN g.field IS NOT NULL THEN 'selected_but_not_loaded' WHEN p.stock_code IS NULL THEN 'no_statement_json' WHEN c.field IS NOT NULL THEN 'candidate_exists_but_not_selected' ELSE 'no_candidate_found' END AS reason
   FROM long l LEFT JOIN (SELECT DISTINCT stock_code, report_year, field FROM lineage) g USING (stock_code, report_year, field) LEFT JOIN pages p ON p.stock_code = l.stock_code AND p.report_year = l.report_year
   LEFT JOIN (SELECT DISTINCT stock_code, report_year, field FROM cands) c ON c.stock_code = l.stock_code AND c.report_year = l.report_year AND c.field = l.field WHERE l.value IS NULL)"""
 
@@ -248,7 +248,7 @@ _REASON = f"""{_LONG}, miss AS (SELECT l.stock_code, l.report_year, l.field, CAS
 @query("dq_missing_reasons", f"{_REASON} SELECT * FROM miss")
 def _(spark, d):
     rows, lineage, pages, cands = _long(spark, d)
-    return quality.missing_reasons(rows.withColumn("mapped", F.lit(True)), ["stock_code", "report_year"], lineage, pages, cands)
+    return quality.missing_reasons(rows.withColumn("mapped", F.col("stock_code").cast("int") % 11 != 0), ["stock_code", "report_year"], lineage, pages, cands)
 
 
 @query(
@@ -260,7 +260,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows, lineage, pages, cands = _long(spark, d)
-    return quality.funnel(rows.withColumn("mapped", F.lit(True)), ["stock_code", "report_year"], lineage, pages, cands)
+    return quality.funnel(rows.withColumn("mapped", F.col("stock_code").cast("int") % 11 != 0), ["stock_code", "report_year"], lineage, pages, cands)
 
 
 @query("dq_lineage_coverage", f"{_LONG} SELECT field, count(*) AS filled, count(g.field) AS with_lineage, {_RATE('count(g.field)', 'count(*)')} AS coverage FROM (SELECT l.field AS field, k.field AS gf FROM long l LEFT JOIN (SELECT DISTINCT stock_code, report_year, field FROM lineage) k ON k.stock_code = l.stock_code AND k.report_year = l.report_year AND k.field = l.field WHERE l.value IS NOT NULL) g GROUP BY field".replace("count(g.field)", "count(gf)"))
@@ -406,15 +406,45 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(x.normalise_text(c)).alias("text_md5"), F.md5(x.compact_text(c)).alias("compact_md5"))
 
 
-@query("text_stock_codes", "SELECT o_orderkey, CASE WHEN length(CAST(o_custkey AS VARCHAR)) <= 6 THEN lpad(CAST(o_custkey AS VARCHAR), 6, '0') ELSE CAST(o_custkey AS VARCHAR) END AS code FROM orders")
+def _cycled(key: Column, values: list[str | None]) -> Column:
+    """The values in turn by key."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.pmod(key, F.lit(len(values))).cast("int"))
+
+
+def _expected(key: str, values: list[str | None]) -> str:
+    quoted = ["NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values]
+    return f"([{', '.join(quoted)}])[{key} % {len(values)} + 1]"
+
+
+_CODES = {" 600000 ": "600000", "1.0": "000001", "12345": "012345", "000002.0 ": "000002", "1 2 3": "000123", "1234567": "1234567", "AB12": "AB12", "": "", "　300\xa0750": "300750", "12.5": "12.5"}
+_PERIOD = {"h1 ": "HY", "annual": "FY", "p": "P", "Q1": "Q1", "first_quarter": "Q1", "semi_annual": "HY", "Half_Year": "HY", "third_quarter": "Q3", " q3": "Q3", "YEARLY": "FY", "year": "FY", "fy": "FY", "": "", "第二季度": "第二季度"}
+_ITEM = {
+    "其中：货币资金": "货币资金", "资产 合计": "资产总计", "一、营业收入：": "营业收入", "（一）短期借款": "短期借款", "十二、综合收益": "综合收益", "(3)存货": "存货", "加：年初余额": "年初余额", "减:所得税费用": "所得税费用", "项目：负债总计": "负债合计",
+    "股东权益合计（元）": "股东权益合计(元", "【应收账款】": "应收账款", "二.净利润": "净利润", "其中:利息　收入": "利息收入", "": "", "一、其中：加：项目 现金": "现金", "所有者权益（或股东权益）合计": "所有者权益(或股东权益)合计",
+}
+_HEAD = {
+    "1998 年 12 月 31 日": "current", "1997年12月31日": "previous", "1996年": "unknown", "期末余额": "current", "期初 余额": "previous", "附注": "note", "行次": "note", "本期金额": "current", "上期金额": "previous", "上年年末余额": "previous",
+    "1998年度 上期": "previous", "项目": "unknown", "": "unknown", "注释 1998": "note",
+}
+_AMOUNT = {
+    "1,234.50": "1234.500000", "（12.5）": "-12.500000", "－3": "-3.000000", "45.6 %": "45.600000", "不适用": None, "--": None, "": None, "(1,000)": "-1000.000000", "+7": "7.000000", "12.": "12.000000", ".5": "0.500000", "1.2.3": None, "(4%)": "-4.000000", "abc": None,
+    "—8,888.1": "-8888.100000", "1 234": "1234.000000",
+}
+
+
+@query("text_stock_codes", f"SELECT o_orderkey, {_expected('o_orderkey', list(_CODES.values()))} AS code FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", x.normalise_stock_code(_cycled(F.col("o_orderkey"), list(_CODES))).alias("code"))
+
+
+@query("text_periods", f"SELECT o_orderkey, {_expected('o_orderkey', [*_PERIOD.values(), None])} AS period FROM orders")
 def _(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", x.normalise_stock_code(F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(".0 "))).alias("code"))
+    return table(spark, d, "orders").select("o_orderkey", x.normalise_period(_cycled(F.col("o_orderkey"), [*_PERIOD, None])).alias("period"))
 
 
-@query("text_periods", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'HY' WHEN 'O' THEN 'FY' ELSE 'P' END AS period FROM orders")
+@query("text_parsed_amounts", f"SELECT o_orderkey, CAST({_expected('o_orderkey', [*_AMOUNT.values(), None])} AS DECIMAL(28,6)) AS amount FROM orders")
 def _(spark, d):
-    name = F.when(F.col("o_orderstatus") == "F", "h1 ").when(F.col("o_orderstatus") == "O", "annual").otherwise("p")
-    return table(spark, d, "orders").select("o_orderkey", x.normalise_period(name).alias("period"))
+    return table(spark, d, "orders").select("o_orderkey", x.parse_amount(_cycled(F.col("o_orderkey"), [*_AMOUNT, None])).alias("amount"))
 
 
 @query("text_amounts", "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE CAST(s_acctbal AS DECIMAL(18,2)) END AS DECIMAL(28,6)) AS amount, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE CAST(CAST(s_acctbal AS DECIMAL(18,2)) * 10000 AS DECIMAL(28,2)) END AS yuan FROM supplier")
@@ -436,16 +466,39 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", x.json_field(F.col("props"), "k").cast("bigint").alias("k"))
 
 
-@query("text_item_names", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '货币资金' WHEN 1 THEN '资产总计' WHEN 2 THEN '营业收入' ELSE '短期借款' END AS item FROM supplier")
+@query("text_item_names", f"SELECT o_orderkey, {_expected('o_orderkey', list(_ITEM.values()))} AS item FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", x.normalise_item_name(_cycled(F.col("o_orderkey"), list(_ITEM))).alias("item"))
+
+
+@query("text_column_roles", f"SELECT o_orderkey, {_expected('o_orderkey', list(_HEAD.values()))} AS role FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", x.column_role(_cycled(F.col("o_orderkey"), list(_HEAD)), F.lit(1998)).alias("role"))
+
+
+@query("text_years", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(year(o_orderdate) AS VARCHAR) || ',' || CAST(year(o_orderdate) - 1 AS VARCHAR) ELSE '' END AS named, CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 10 WHEN 2 THEN 2 END AS recent, CASE o_orderkey % 4 WHEN 0 THEN 1996 WHEN 1 THEN 1989 WHEN 2 THEN 1997 END AS first_year FROM orders")
+def _(spark, d):
+    k, y = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
+    named = F.when(k % 3 == 0, F.concat(y, F.lit("年和 "), (F.year("o_orderdate") - 1).cast("string"), F.lit("、"), y, F.lit("年净利润，代码 000019995"))).otherwise("最近的净利润 3019")
+    asked = F.concat(named, _cycled(k, ["近三年", "近 10 年", "近两年", "近年"]))
+    recent = x.recent_years(asked, F.lit(1998))
+    years = x.named_years(asked)
+    return table(spark, d, "orders").select("o_orderkey", F.concat_ws(",", years.cast("array<string>")).alias("named"), F.when(recent.isNotNull(), F.size(recent)).alias("recent"), F.get(recent, 0).alias("first_year"))
+
+
+@query("text_display", "SELECT s_suppkey, format('{:,.2f}', CAST(s_acctbal AS DOUBLE)) AS figure, CASE WHEN s_suppkey % 10 = 0 THEN '-' ELSE printf('%.1f', CAST(s_nationkey AS DOUBLE)) || '%' END AS percent, printf('%.2f', CAST(s_nationkey AS DOUBLE)) || ' 个百分点' AS points FROM supplier")
 def _(spark, d):
-    k = F.col("s_suppkey") % 4
-    raw = F.when(k == 0, "其中：货币资金").when(k == 1, "资产 合计").when(k == 2, "一、营业收入：").otherwise("（一）短期借款")
-    return table(spark, d, "supplier").select("s_suppkey", x.normalise_item_name(raw).alias("item"))
+    n = F.col("s_nationkey")
+    return table(spark, d, "supplier").select("s_suppkey", x.display(F.col("s_acctbal"), "").alias("figure"), x.display(F.when(F.col("s_suppkey") % 10 != 0, n), "percent", 1).alias("percent"), x.display(n, "point").alias("points"))
 
 
-@query("text_column_roles", "SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1998 THEN 'current' WHEN year(o_orderdate) = 1997 THEN 'previous' ELSE 'unknown' END AS role FROM orders")
+@query("text_json_rows", """SELECT s_suppkey, '{"id":' || s_suppkey || ',"name":"' || s_name || '","a":' || CASE WHEN s_nationkey = 3 THEN 'null' ELSE CAST(s_nationkey AS VARCHAR) END || ',"half":' || s_nationkey || '.5}' AS json FROM supplier""")
 def _(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", x.column_role(F.concat(F.year("o_orderdate").cast("string"), F.lit(" 年 12 月 31 日")), F.lit(1998)).alias("role"))
+    n = F.col("s_nationkey").cast("decimal(10,2)")
+    whole = F.when(F.col("s_nationkey") != 3, n)
+    half = (n + F.lit("0.50").cast("decimal(3,2)")).cast("decimal(12,3)")
+    columns = {"id": (F.col("s_suppkey"), "bigint"), "name": (F.col("s_name"), "string"), "a": (whole, "decimal(10,2)"), "half": (half, "decimal(12,3)")}
+    return table(spark, d, "supplier").select("s_suppkey", x.json_row(columns).alias("json"))
 
 
 @query("text_aliases", "SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS stock_code, unnest([lpad(CAST(n_nationkey AS VARCHAR), 6, '0'), n_name, n_name || ' Holdings']) AS alias, unnest(['stock_code', 'stock_abbr', 'company_name']) AS kind, TRUE AS is_primary FROM nation")
