@@ -144,9 +144,11 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None, dim: in
     spelt = known + [misspelt(known[k], rng) for k in often for _ in range(VARIANTS)]
     names, begins, grams, n_grams = _vocabulary_grams(spelt, np.r_[seen, np.zeros(len(spelt) - len(known), np.int64)], least)
     words_spoilt = [np.where((variant[x] >= 0) & (rng.random(len(x)) < 0.5), variant[x] + rng.integers(0, VARIANTS, len(x)), x) for x in words]
-    parts = [x[k : k + WINDOW] for x in words for k in range(0, max(1, len(x)), WINDOW)]
-    own = np.repeat(np.arange(len(words)), [max(1, math.ceil(len(x) / WINDOW)) for x in words])
-    long, inside = np.array([len(x) for x in parts]), np.concatenate(parts)
+    size = np.array([len(x) for x in words])
+    n_windows = np.maximum(1, -(-size // WINDOW))
+    own, inside = np.repeat(np.arange(len(words)), n_windows), np.concatenate(words)
+    long = np.full(len(own), WINDOW)
+    long[np.cumsum(n_windows) - 1] = size - WINDOW * (n_windows - 1)  # the last of a document may be shorter
     window_at = np.r_[0, np.cumsum(long)]
     long = np.maximum(long, LEAST).astype(np.float32)
     emb = rng.normal(0, 0.05, (len(names), dim)).astype(np.float32)
