@@ -29,7 +29,7 @@ from ledgerline.llm.common import fresh, frugal, read_table, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Distinct cuts that a worker remembers between batches, at most, and the longest of them in characters.
-CACHE, CACHED_CHARS = 200_000, 64
+CACHE, CACHED_CHARS = 300_000, 64
 #: Cells of one matrix, at most, unless a single piece has more bytes.
 CELLS = 1 << 19
 #: Fixed value: patterns in which nothing matches over a single space between two other characters, and a space goes with what
@@ -213,7 +213,7 @@ def _codec(ranks: bytes, pattern: str) -> ByteBPE:
 
 
 #: Characters of text that are encoded at once.
-PART = 1_000_000
+PART = 2_000_000
 
 
 def bpe_round_trip(text: Column, ranks: bytes, pattern: str) -> Column:
