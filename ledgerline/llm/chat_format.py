@@ -213,3 +213,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
     )
     return conversation_digests(rows.union(hard))
+
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, len(regexp_extract_all(text, '<</?SYS>>|\[/?INST\]|</?s>|\[TURN:[^\]\s]*\]|\[/TURN\]')) AS marks,
+         CASE role WHEN 'system' THEN 7 + 8 WHEN 'user' THEN 6 + 7 WHEN 'assistant' THEN 3 + 4 ELSE 6 + length(url_encode(role)) + 1 + 7 END AS around FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(around + 3 + length(text) + marks)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""

@@ -160,3 +160,20 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.93, recall: float =
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.93)
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), r AS (
+  SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node
+), c AS (
+  SELECT node, min(low) AS component_id FROM r GROUP BY node
+), k AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN k ON a = vec_id JOIN c ON node = vec_id
+"""

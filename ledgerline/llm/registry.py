@@ -28,4 +28,9 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
 }
 
-ORACLE_SQL = {"op5_line_dedup": line_dedup.OP5_SQL}
+ORACLE_SQL = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
+    "op7_minhash_dedup": minhash_dedup.OP7_SQL,
+    "op9_chat_format": chat_format.OP9_SQL,
+}
