@@ -27,29 +27,35 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import discard, frugal, materialize, read_table, reading, small_batches
 from ledgerline.llm.graph import connected_components
 
-BUCKET, BLOCK, WIDTH = 1024, 1024, 2.0
+BUCKET, BLOCK = 1024, 2048
+WIDTHS = tuple(x / 4 for x in range(4, 20))
 
 
-def collision(distance: float, width: float = WIDTH) -> float:
+def collision(distance: float, width: float) -> float:
     """Probability that one quantised projection agrees for two points at this distance."""
     r = width / distance
     tail = 0.5 * math.erfc(r / math.sqrt(2))
     return 1 - 2 * tail - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(hashes, tables) for n vectors that are compared with each other."""
-    near, far = collision(math.sqrt(2 - 2 * threshold)), collision(math.sqrt(2))
-    hashes = max(1, math.ceil(math.log(max(2.0, n / BUCKET)) / -math.log(far)))
-    return hashes, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**hashes)))
+def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int, float]:
+    """(hashes, tables, width of a cell) for n vectors that are compared with each other: of the widths, the one that needs the
+    fewest tables."""
+    best = None
+    for width in WIDTHS:
+        near, far = collision(math.sqrt(2 - 2 * threshold), width), collision(math.sqrt(2), width)
+        hashes = max(1, math.ceil(math.log(max(2.0, n / BUCKET)) / -math.log(far)))
+        found = (max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**hashes))), hashes, width)
+        best = min(best or found, found)
+    return best[1], best[0], best[2]
 
 
-def bucket_codes(unit: np.ndarray, hashes: int, tables: int, seed: int) -> np.ndarray:
+def bucket_codes(unit: np.ndarray, hashes: int, tables: int, width: float, seed: int) -> np.ndarray:
     """int32 [row, table]."""
     rng = np.random.default_rng([seed, unit.shape[1]])
     directions = rng.normal(size=(unit.shape[1], tables * hashes))
-    offsets = rng.uniform(0, WIDTH, tables * hashes)
-    cells = np.floor((unit @ directions + offsets) / WIDTH).astype(np.int64).reshape(len(unit), tables, hashes)
+    offsets = rng.uniform(0, width, tables * hashes)
+    cells = np.floor((unit @ directions + offsets) / width).astype(np.int64).reshape(len(unit), tables, hashes)
     mixed = np.zeros(cells.shape[:2], np.uint64)
     for k in range(hashes):
         mixed = (mixed ^ cells[:, :, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -113,12 +119,12 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.93, recall: float =
     classes = rows.where(F.col("__e").isNotNull()).groupBy("__l", "__e").agg(F.min("vec_id").alias("low"), F.count("*").alias("size"))
     nodes = materialize(classes.select(F.monotonically_increasing_id().alias("nid"), F.xxhash64("__l", F.size("__e")).alias("grp"), "__l", "__e", "low", "size"))
     largest = nodes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    hashes, tables = plan_tables(largest, threshold, recall)
+    hashes, tables, width = plan_tables(largest, threshold, recall)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, part in batch.groupby(batch["__e"].map(len)):
-                yield pd.DataFrame({"nid": part["nid"], "codes": list(bucket_codes(_unit(part["__e"].tolist()), hashes, tables, seed))})
+                yield pd.DataFrame({"nid": part["nid"], "codes": list(bucket_codes(_unit(part["__e"].tolist()), hashes, tables, width, seed))})
 
     codes = materialize(nodes.select("nid", "__e").mapInPandas(coded, "nid bigint, codes array<int>"))
     met = codes.join(nodes.select("nid", "grp"), "nid").select("nid", "grp", F.posexplode("codes").alias("tab", "code"))
@@ -136,7 +142,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.93, recall: float =
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches, keys):
             unit = _unit(g["__e"].tolist())
-            stack = bucket_codes(unit, hashes, tables, seed)  # cheaper worked out again than sent along
+            stack = bucket_codes(unit, hashes, tables, width, seed)  # cheaper worked out again than sent along
             found, root = _compare(unit, g["size"].to_numpy(), stack, int(g["tab"].iloc[0]), g["side"].to_numpy(), threshold)
             nid = g["nid"].to_numpy()
             use = (found > 0) | (root != np.arange(len(root)))

@@ -78,14 +78,14 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
 def test_recall_at_the_threshold():
     """Pairs exactly at the threshold share a bucket as often as planned."""
     rng = np.random.default_rng(1)
-    hashes, tables = embedding_dedup.plan_tables(5000, 0.93, 0.999)
+    hashes, tables, width = embedding_dedup.plan_tables(5000, 0.93, 0.999)
     a = rng.normal(size=(2000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.normal(size=(2000, 64))
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     b = 0.93 * a + math.sqrt(1 - 0.93**2) * b
-    met = (embedding_dedup.bucket_codes(a, hashes, tables, 11) == embedding_dedup.bucket_codes(b, hashes, tables, 11)).any(axis=1)
+    met = (embedding_dedup.bucket_codes(a, hashes, tables, width, 11) == embedding_dedup.bucket_codes(b, hashes, tables, width, 11)).any(axis=1)
     assert met.mean() >= 0.99
 
 
@@ -96,5 +96,5 @@ def test_query_on_whole_table(spark, small):
 
 @pytest.mark.parametrize("n", [1, 64, 10_000, 10**9])
 def test_plan_grows_slowly(n):
-    hashes, tables = embedding_dedup.plan_tables(n, 0.93, 0.999)
+    hashes, tables, width = embedding_dedup.plan_tables(n, 0.93, 0.999)
     assert 1 <= hashes <= 32 and 1 <= tables <= 2000
