@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions.metrics import ladder, safe_divide
+from ledgerline.functions.similarity import field_similarity
+from ledgerline.functions.text import contains_any
 from ledgerline.operators.marts import KEY
 
 REASONS = ("validation_field_mapping_issue", "selected_but_not_loaded", "no_statement_json", "candidate_exists_but_not_selected", "no_candidate_found")
@@ -193,14 +196,61 @@ def issues(results: DataFrame) -> DataFrame:
     return results.where("status <> 'passed'").withColumns({"severity": severity, "action": action})
 
 
-def root_cause(balance: DataFrame) -> DataFrame:
-    """Why an identity may fail: suspicions in order, and all of them."""
-    a, liabilities, equity = F.col("asset_total_assets"), F.col("liability_total_liabilities"), F.col("equity_total_equity")
-    tests = [
-        (a.isNull(), "missing_total"),
-        (liabilities.isNull(), "missing_liabilities"),
-        (F.coalesce(equity < 0, F.lit(False)), "negative_equity"),
-        (F.coalesce(liabilities * 20 > a * 19, F.lit(False)), "wrong_row_or_unit"),
-    ]
-    found = F.sort_array(F.array_distinct(F.array_compact(F.array(*[F.when(c, n) for c, n in tests]))))
-    return balance.select(*KEY, ladder(*tests, otherwise="unknown").alias("first_cause"), F.concat_ws(",", found).alias("all_causes"))
+#: Words of a column's name.
+EARLIER_WORDS, CURRENT_WORDS = ("期初", "上年", "上期", "年初"), ("期末", "本期", "本年")
+
+
+def scope_conflicts(one: dict[str, Column], two: dict[str, Column]) -> Column:
+    """Whether two values' sources contradict each other in any of the named marks; blanks contradict nothing."""
+    said = lambda c: c.isNotNull() & (c.cast("string") != "")
+    return reduce(lambda a, b: a | b, [F.coalesce(said(one[k]) & said(two[k]) & (one[k] != two[k]), F.lit(False)) for k in one])
+
+
+def root_cause(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Why a balance identity fails, by the sources of its two sides: pairs holds the key and, for each side a and b, role,
+    column (its printed name), table, consolidated, parent and value. The first rung that applies names the cause."""
+    a, b = ({k: F.col(f"{side}_{k}") for k in ("role", "column", "table", "consolidated", "parent", "value")} for side in "ab")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    says = lambda side, words: no(contains_any(side["column"], words))
+    crossed = (says(a, EARLIER_WORDS) & says(b, CURRENT_WORDS)) | (says(a, CURRENT_WORDS) & says(b, EARLIER_WORDS))
+    scoped = a["consolidated"].isNotNull() & a["parent"].isNotNull() & b["consolidated"].isNotNull() & b["parent"].isNotNull()
+    cause = ladder(
+        (a["role"].isNull() | a["column"].isNull() | b["role"].isNull() | b["column"].isNull(), "insufficient_lineage_diagnostics"),
+        ((a["role"] != b["role"]) | crossed, "previous_period_column_mismatch"),
+        (no(a["table"] != b["table"]), "mixed_statement_table"),
+        (scoped & ((a["consolidated"] != b["consolidated"]) | (a["parent"] != b["parent"])), "mixed_consolidated_parent_scope"),
+        (no(diff_ratio(a["value"], b["value"]) > 0.01), "possible_wrong_row_or_unit"),
+        otherwise="insufficient_lineage_diagnostics",
+    )
+    conflict = scope_conflicts({k: a[k] for k in ("table", "consolidated", "parent", "role")}, {k: b[k] for k in ("table", "consolidated", "parent", "role")})
+    return pairs.select(*key, cause.alias("cause"), conflict.alias("scope_conflict"))
+
+
+def skip_reasons(balance: DataFrame) -> DataFrame:
+    """How many balances can't be checked, by what they lack."""
+    a, total = F.col("asset_total_assets"), F.col("liability_and_equity_total")
+    parts = F.col("liability_total_liabilities").isNotNull() & F.col("equity_total_equity").isNotNull()
+    reason = F.when(a.isNull(), "missing_assets").when(total.isNull() & ~parts, "missing_total_and_parts")
+    return balance.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def listed_values(keys: DataFrame, table: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """The fields of listed keys, null for a key that the table lacks; found tells which."""
+    return keys.select(*key).distinct().join(table.select(*key, *fields, F.lit(True).alias("found")), list(key), "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def mapping_audit(metrics: DataFrame, columns: DataFrame) -> DataFrame:
+    """metrics (table, field, source_field, kind) with whether the table has the source field, else its most similar column
+    from a similarity of 0.45 on, and what to do. columns: table, column. Names meet within a table, and each distinct pair is
+    compared once."""
+    known = columns.select("table", F.col("column").alias("source_field"), F.lit(True).alias("exists")).distinct()
+    rows = metrics.join(known, ["table", "source_field"], "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+    open_ = rows.where("NOT exists AND source_field IS NOT NULL").select("table", "source_field").distinct()
+    likely = open_.join(columns, "table").withColumn("similarity", F.round(field_similarity(F.col("source_field"), F.col("column")), 6)).where("similarity >= 0.45")
+    best = likely.groupBy("table", "source_field").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "column")).alias("b"))
+    out = rows.join(best, ["table", "source_field"], "left").withColumns({"possible": F.col("b.column"), "similarity": -F.col("b.s")}).drop("b")
+    action = (
+        F.when(F.col("exists"), "").when(F.col("kind") == "not_supported_in_v1", "remove_from_v1_key_metrics").when(F.col("kind") == "add_column_required", "add_final_table_column")
+        .when(F.col("kind") == "derived_metric", "mark_as_derived_metric").when(F.col("similarity") >= 0.55, "map_to_existing_field").otherwise("add_final_table_column")
+    )
+    return out.withColumn("action", action)

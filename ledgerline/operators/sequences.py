@@ -88,6 +88,39 @@ def cluster_lines(tokens: DataFrame, page: Sequence[str], at: str, tolerance: fl
     return tokens.repartition(*keys).sortWithinPartitions(*keys, at).mapInPandas(number, schema)
 
 
+def merge_page_breaks(rows: DataFrame, file: str = "file_id", page: str = "page_no", y: str = "y", item: str = "item", cells: str = "cells") -> DataFrame:
+    """Rows that a page break cut in two made whole: the row takes the next page's first row in if that one has no name, or if
+    itself has no amounts, or if both names are short and the second has no amounts. Names join, and amounts that the first lacks
+    come from the second. A merged row is tried against the row after it, so rows are streamed in order; a task holds one row.
+    cells: map of column to printed amount."""
+    schema = rows.schema
+
+    def torn(a: dict, b: dict) -> bool:
+        if b[page] != a[page] + 1 or not a[item]:
+            return False
+        if b[cells]:
+            return not b[item] or not a[cells]
+        return bool(b[item]) and len(a[item]) <= 8 and len(b[item]) <= 12
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                row[item], row[cells] = row[item] or "", dict(row[cells] or {})
+                if held is not None and held[file] == row[file] and torn(held, row):
+                    held = {**held, item: held[item] + row[item], cells: {**row[cells], **{k: v for k, v in held[cells].items() if v}}}
+                    continue
+                if held is not None:
+                    out.append(held)
+                held = row
+            yield pd.DataFrame(out, columns=batch.columns)
+        if held is not None:
+            yield pd.DataFrame([held])
+
+    return rows.repartition(file).sortWithinPartitions(file, page, y).mapInPandas(joined, schema)
+
+
 def repeated_lines(lines: DataFrame, group: str, unit: str, line: str) -> DataFrame:
     """Lines found on max(2, half of the units + 1) units of a group at least: headers and footers."""
     units = lines.groupBy(group).agg(F.countDistinct(unit).alias("units"))

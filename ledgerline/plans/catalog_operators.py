@@ -11,6 +11,8 @@ from ledgerline.operators import load, matching, quality, sequences
 from ledgerline.operators.marts import build
 from ledgerline.plans import oracle as o
 from ledgerline.plans import templates as t
+from ledgerline.plans.compile import latest_years
+from ledgerline.sources import files
 from ledgerline.plans.catalog import Query
 
 QUERIES: dict[str, Query] = {}
@@ -295,14 +297,93 @@ def _(spark, d):
     return quality.run_delta(old, new, ["kind"], "count")
 
 
+_PAIR = """WITH s AS (SELECT l_orderkey AS case_id, CASE WHEN l_linenumber < 3 THEN 'a' ELSE 'b' END AS side, CASE WHEN l_quantity < 4 THEN NULL WHEN l_linestatus = 'O' THEN 'current' ELSE 'previous' END AS role, CASE WHEN l_returnflag = 'A' THEN '期末余额' WHEN l_returnflag = 'R' THEN '年初 数' ELSE '金额' END AS col,
+    l_linenumber % 2 AS tab, l_tax > 0.04 AS con, CASE WHEN l_discount > 0.01 THEN l_tax < 0.02 END AS par, CAST(l_extendedprice AS DECIMAL(18,2)) AS value, row_number() OVER (PARTITION BY l_orderkey, l_linenumber < 3 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+  p AS (SELECT a.case_id, a.role AS ar, b.role AS br, a.col AS ac, b.col AS bc, a.tab AS at_, b.tab AS bt, a.con AS acon, b.con AS bcon, a.par AS ap, b.par AS bp, a.value AS av, b.value AS bv FROM s a JOIN s b ON a.case_id = b.case_id AND a.side = 'a' AND b.side = 'b' AND a.n = 1 AND b.n = 1)"""
+
+
+def _pairs_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), F.when(n < 3, "a").otherwise("b").alias("side"), F.when(F.col("l_quantity") >= 4, F.when(F.col("l_linestatus") == "O", "current").otherwise("previous")).alias("role"),
+        F.when(flag == "A", "期末余额").when(flag == "R", "年初 数").otherwise("金额").alias("column"), (n % 2).alias("table"), (F.col("l_tax") > 0.04).alias("consolidated"), F.when(F.col("l_discount") > 0.01, F.col("l_tax") < 0.02).alias("parent"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("value"), n.alias("o1"), F.col("l_partkey").alias("o2"), F.col("l_suppkey").alias("o3"), F.col("l_extendedprice").alias("o4"),
+    )
+    first = load.latest(rows, ["case_id", "side"], [F.col(c).asc() for c in ("o1", "o2", "o3", "o4")])
+    names = ["role", "column", "table", "consolidated", "parent", "value"]
+    a, b = (first.where(F.col("side") == x).select("case_id", *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in "ab")
+    return a.join(b, "case_id")
+
+
 @query(
     "dq_root_cause",
-    f"""{o.marts('customer')}, f AS (SELECT *, asset_total_assets IS NULL AS c1, liability_total_liabilities IS NULL AS c2, coalesce(equity_total_equity < 0, FALSE) AS c3, coalesce(liability_total_liabilities * 20 > asset_total_assets * 19, FALSE) AS c4 FROM balance_sheet)
-    SELECT stock_code, report_year, report_period, CASE WHEN c1 THEN 'missing_total' WHEN c2 THEN 'missing_liabilities' WHEN c3 THEN 'negative_equity' WHEN c4 THEN 'wrong_row_or_unit' ELSE 'unknown' END AS first_cause,
-      concat_ws(',', CASE WHEN c2 THEN 'missing_liabilities' END, CASE WHEN c1 THEN 'missing_total' END, CASE WHEN c3 THEN 'negative_equity' END, CASE WHEN c4 THEN 'wrong_row_or_unit' END) AS all_causes FROM f""",
+    f"""{_PAIR} SELECT case_id, CASE WHEN ar IS NULL OR br IS NULL THEN 'insufficient_lineage_diagnostics' WHEN ar <> br OR (ac = '年初 数' AND bc = '期末余额') OR (ac = '期末余额' AND bc = '年初 数') THEN 'previous_period_column_mismatch' WHEN at_ <> bt THEN 'mixed_statement_table'
+      WHEN ap IS NOT NULL AND bp IS NOT NULL AND (acon <> bcon OR ap <> bp) THEN 'mixed_consolidated_parent_scope' WHEN abs(CAST(av - bv AS DOUBLE)) / greatest(CAST(av AS DOUBLE), CAST(bv AS DOUBLE)) > 0.01 THEN 'possible_wrong_row_or_unit' ELSE 'insufficient_lineage_diagnostics' END AS cause,
+      at_ <> bt OR acon <> bcon OR coalesce(ap <> bp, FALSE) OR coalesce(ar <> br, FALSE) AS scope_conflict FROM p""",
 )
 def _(spark, d):
-    return quality.root_cause(build(spark, d, "customer").balance_sheet)
+    return quality.root_cause(_pairs_of_sources(spark, d), ["case_id"])
+
+
+@query("dq_skip_reasons", f"""{_BAL} SELECT 'missing_total_and_parts' AS reason, count(*) AS n FROM b WHERE asset_total_assets IS NOT NULL AND total IS NULL AND (liability_total_liabilities IS NULL OR equity_total_equity IS NULL) HAVING count(*) > 0
+    UNION ALL SELECT 'missing_assets', count(*) FROM b WHERE asset_total_assets IS NULL HAVING count(*) > 0""")
+def _(spark, d):
+    return quality.skip_reasons(_stated(spark, d))
+
+
+@query("dq_plausible_cash", f"""{o.marts()}, f AS (SELECT *, CAST(stock_code AS INT) % 5 = 0 AS same FROM cash_flow_sheet) SELECT stock_code, report_year, report_period, CASE WHEN NOT same THEN operating_cf_net_amount END AS operating_cf_net_amount, CASE WHEN NOT same THEN investing_cf_net_amount END AS investing_cf_net_amount,
+    CASE WHEN NOT same THEN financing_cf_net_amount END AS financing_cf_net_amount, net_cash_flow, CASE WHEN same THEN 'three_equal_amounts' ELSE '' END AS rejections FROM f""")
+def _(spark, d):
+    cash, same = build(spark, d).cash_flow_sheet, F.col("stock_code").cast("int") % 5 == 0
+    filled = {c: F.when(same, F.col("net_cash_flow")).otherwise(F.col(c)) for c in ("operating_cf_net_amount", "investing_cf_net_amount", "financing_cf_net_amount")}
+    return quality.plausible_cash(cash.withColumns(filled))
+
+
+@query("dq_listed_values", f"""{o.marts()}, k AS (SELECT DISTINCT lpad(CAST(c_nationkey + 3 AS VARCHAR), 6, '0') AS stock_code, 1998 AS report_year FROM customer) SELECT k.stock_code, k.report_year, net_profit, i.stock_code IS NOT NULL AS found FROM k LEFT JOIN income_sheet i ON i.stock_code = k.stock_code AND i.report_year = k.report_year""")
+def _(spark, d):
+    keys = table(spark, d, "customer").select(F.lpad((F.col("c_nationkey") + 3).cast("string"), 6, "0").alias("stock_code"), F.lit(1998).alias("report_year"))
+    return quality.listed_values(keys, build(spark, d).table("income_sheet", [1998]), ["stock_code", "report_year"], ["net_profit"])
+
+
+@query("dq_path_check", "SELECT count(*) FILTER (WHERE p_partkey < (SELECT max(s_suppkey) FROM supplier)) AS existing, count(*) FILTER (WHERE p_partkey >= (SELECT max(s_suppkey) FROM supplier)) AS missing FROM part")
+def _(spark, d):
+    paths = table(spark, d, "part").select(F.concat(F.lit("D:\\old\\"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"))
+    there = table(spark, d, "supplier").where("s_suppkey > 0").select(F.concat(F.lit("/new/"), (F.col("s_suppkey") - 1).cast("string"), F.lit(".pdf")).alias("path"))
+    return files.path_check(files.replace_prefix(paths, "path", "D:/old", "/new"), there)
+
+
+@query("load_signature", """SELECT s_suppkey, sha256('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}') AS signature FROM supplier""")
+def _(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", files.signature("s_suppkey", "s_name").alias("signature"))
+
+
+@query("load_needs_rebuild", """SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_custkey % 3 = 0 OR o_orderkey % 5 = 0""")
+def _(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").alias("modified"))
+    odd = F.when(F.col("o_custkey") % 3 == 0, -1).otherwise(F.col("o_custkey"))
+    late = F.when(F.col("o_orderkey") % 5 == 0, F.col("modified") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("modified"))
+    built = rows.where("o_orderstatus <> 'P'").select("o_orderkey", odd.alias("o_custkey"), late.alias("built_at")).withColumn("signature", files.signature("o_custkey"))
+    return files.needs_rebuild(rows, built, ["o_orderkey"], ["o_custkey"]).select("o_orderkey")
+
+
+@query("agg_latest_year", f"{o.marts()} SELECT 'income_sheet' AS sheet, max(report_year) AS latest FROM income_sheet UNION ALL SELECT 'balance_sheet', max(report_year) FROM balance_sheet UNION ALL SELECT 'cash_flow_sheet', max(report_year) FROM cash_flow_sheet")
+def _(spark, d):
+    return latest_years(build(spark, d))
+
+
+@query("dq_mapping_audit")
+def _(spark, d):
+    names = [("part", c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")]
+    wanted = [("part", "a", "p_name", "extracted_metric"), ("part", "b", "p_names", "extracted_metric"), ("part", "c", "weight", "extracted_metric"), ("part", "d", None, "derived_metric"), ("part", "e", "zzz", "not_supported_in_v1")]
+    return quality.mapping_audit(spark.createDataFrame(wanted, "table string, field string, source_field string, kind string"), spark.createDataFrame(names, "table string, column string"))
+
+
+@query("seq_merge_page_breaks")
+def _(spark, d):
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    cells = F.when(flag != "N", F.create_map(flag, F.col("l_quantity").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.ceil(n / 2).cast("int").alias("page_no"), (n * 1000 + F.col("l_quantity")).alias("y"), F.when(F.col("l_quantity") > 10, F.concat(F.lit("item "), n.cast("string"))).otherwise("").alias("item"), cells.alias("cells"))
+    return sequences.merge_page_breaks(rows).select("file_id", "page_no", "y", "item", F.to_json("cells").alias("cells"))
 
 
 @query("agg_company_reports", f"{o.marts('customer')} SELECT stock_code, count(*) AS reports, min(report_year) AS first_year, max(report_year) AS last_year FROM balance_sheet GROUP BY stock_code")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +23,16 @@ class ResultContract:
     keys: tuple[str, ...]
     units: dict[str, str]
     limit: int | None
+    kinds: dict[str, str] = field(default_factory=dict)
+
+    def truncated(self, rows: int) -> bool:
+        """Whether a result of so many rows may have been cut by the limit."""
+        return self.limit is not None and rows >= self.limit
 
     @staticmethod
     def of(df: DataFrame, limit: int | None = None) -> ResultContract:
         units = {}
+        kinds = {"percent": "percentage", "yuan": "currency", "fraction": "percentage", "ratio": "number"}
         for c in df.columns:
             key = c.split("__")[-1]
             if key in BASE:
@@ -33,7 +41,23 @@ class ResultContract:
                 units[c] = DERIVED[key].unit
             elif c.endswith(("_rate", "__yoy")):
                 units[c] = "fraction"
-        return ResultContract(tuple(df.columns), tuple(c for c in df.columns if c in ("stock_code", "report_year", "report_period", "metric")), units, limit)
+        return ResultContract(tuple(df.columns), tuple(c for c in df.columns if c in ("stock_code", "report_year", "report_period", "metric")), units, limit, {c: kinds[u] for c, u in units.items()})
+
+
+def unsupported_figures(answer: str, rows: list[dict]) -> list[str]:
+    """Figures of an answer that no value of its (few, already shown) result rows explains: as it is, rounded to two digits, in
+    hundreds of millions, or as a percentage."""
+    known: set[str] = set()
+    for value in (v for r in rows for v in r.values() if v is not None):
+        known.add(str(value))
+        try:
+            x = float(value)
+        except (TypeError, ValueError):
+            known.update(re.findall(r"\d+(?:\.\d+)?", str(value)))
+            continue
+        known |= {f"{abs(y):.{n}f}" for y in (x, x * 100, x / 1e8) for n in (0, 1, 2)}
+    said = [m.replace(",", "") for m in re.findall(r"\d[\d,]*(?:\.\d+)?", answer)]
+    return [m for m in dict.fromkeys(said) if m not in known and m.lstrip("0") not in known]
 
 
 def compile_spec(m: Marts, spec: QuerySpec, artifacts: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -82,3 +106,9 @@ def compile_spec(m: Marts, spec: QuerySpec, artifacts: dict[str, DataFrame] | No
 def latest_year(m: Marts, table: str = "income_sheet", period: str = "FY") -> int | None:
     """The newest year that a table reports: one value, read from a partial aggregate."""
     return m.table(table).where(F.col("report_period") == period).agg(F.max("report_year")).first()[0]
+
+
+def latest_years(m: Marts) -> DataFrame:
+    """(sheet, latest) of each fact table, as one lazy result."""
+    names = ("income_sheet", "balance_sheet", "cash_flow_sheet")
+    return reduce(DataFrame.union, [m.table(n).agg(F.lit(n).alias("sheet"), F.max("report_year").alias("latest")) for n in names])

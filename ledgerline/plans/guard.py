@@ -136,6 +136,11 @@ def read_only(spark: SparkSession, sql: str, tables: set[str], limit: int = 200,
         sc.setLocalProperty("spark.jobGroup.id", None)
 
 
+def dry_run(spark: SparkSession, sql: str, tables: set[str], rows: int = 5) -> tuple[list[str], list[tuple]]:
+    """What the statement's first few rows look like, read under the same review as a real run."""
+    return read_only(spark, sql, tables, limit=rows, timeout_s=10)
+
+
 def explain(df: DataFrame) -> str:
     """The formatted physical plan."""
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,9 +78,7 @@ def read_sheet(spark: SparkSession, path: str, names: dict[str, Sequence[str]])
     """A table with a header line (CSV, or a spreadsheet where a reader for it is installed); names: column -> headers that
     may stand for it, the first one found is taken."""
     if path.endswith((".xlsx", ".xls")):
-        import pandas as pd
-
-        rows = spark.createDataFrame(pd.read_excel(path, dtype=str))
+        rows = _workbook(spark, path)
     else:
         rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     out = []
@@ -92,12 +90,62 @@ def read_sheet(spark: SparkSession, path: str, names: dict[str, Sequence[str]])
     return rows.select(*out)
 
 
-def write_report(report: DataFrame, path: str, kind: str) -> None:
-    """A report as csv, json (one object a line) or parquet."""
-    w = report.write.mode("overwrite")
+def _workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheets of the workbooks at path, read on the executors, one workbook a task; needs a reader for them there.
+    All cells are text; the header of the first workbook names the columns."""
+    import io
+
+    import pandas as pd
+
+    def sheet(content: bytes, rows: int | None = None) -> pd.DataFrame:
+        return pd.read_excel(io.BytesIO(content), dtype=str, nrows=rows)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    names = [str(c) for c in sheet(bytes(files.first()[0]), 0).columns]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+    def parts(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                yield sheet(content).reindex(columns=names)
+
+    return files.mapInPandas(parts, schema)
+
+
+def write_report(report: DataFrame, path: str, kind: str, history: bool = False) -> None:
+    """A report as csv, json (one object a line), parquet or md (a Markdown table, in one file: reports are short). history adds
+    to what is there, else it is replaced."""
+    if kind == "md":
+        cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"\|", r"\\|")
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in report.columns]), F.lit(" |"))
+        head = [f"| {' | '.join(report.columns)} |", f"|{' --- |' * len(report.columns)}"]
+        top = report.sparkSession.createDataFrame([(k, h) for k, h in enumerate(head)], "at int, value string")
+        rows = top.unionByName(report.select(F.lit(len(head)).alias("at"), line.alias("value")))
+        rows.coalesce(1).sortWithinPartitions("at", "value").select("value").write.mode("append" if history else "overwrite").text(path)
+        return
+    w = report.write.mode("append" if history else "overwrite")
     {"csv": lambda: w.option("header", True).csv(path), "json": lambda: w.json(path), "parquet": lambda: w.parquet(path)}[kind]()
 
 
+def needs_rebuild(tasks: DataFrame, built: DataFrame, key: Sequence[str], marks: Sequence[str]) -> DataFrame:
+    """tasks (key, marks, modified) that have no result yet, whose result was made under other marks (pages, title, header,
+    status, method, scope), or whose source is newer. built: key, signature of the marks, built_at."""
+    marked = tasks.withColumn("signature", signature(*marks))
+    made = built.select(*key, F.col("signature").alias("__s"), "built_at")
+    both = marked.join(made, list(key), "left")
+    stale = F.col("__s").isNull() | (F.col("__s") != F.col("signature")) | (F.col("built_at") < F.col("modified"))
+    return both.where(stale).drop("__s", "built_at")
+
+
+def refreshed(cache: DataFrame, files: DataFrame, read: Callable[[DataFrame], DataFrame], columns: Sequence[str] = ("path", "length", "modified")) -> DataFrame:
+    """A page cache brought up to date: pages of files that haven't changed stay, changed and new files are read, pages of files
+    that are gone go. cache and what read returns hold a page a row with its file's signature."""
+    signed = files.withColumn("signature", signature(*columns))
+    kept = cache.join(signed.select("signature"), "signature", "left_semi")
+    new = signed.join(cache.select("signature").distinct(), "signature", "left_anti")
+    return kept.unionByName(read(new).select(*cache.columns))
+
+
 def columns_of(spark: SparkSession, table: str) -> list[str]:
     """A table's or view's columns, for writing only those that exist."""
     return spark.table(table).columns

@@ -68,3 +68,22 @@ def test_windowed_counts(spark, tmp_path):
     q = upserts.windowed_counts(upserts.events_stream(spark, str(tmp_path / "in"), events.schema)).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == batch.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_markdown_and_history(spark, tmp_path):
+    report = spark.createDataFrame([("a|b", 1), (None, 2)], "name string, n int")
+    files.write_report(report, str(tmp_path / "r"), "md")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert text.splitlines()[:2] == ["| name | n |", "| --- | --- |"] and set(text.splitlines()[2:]) == {"| a\\|b | 1 |", "|  | 2 |"}
+    for _ in range(2):
+        files.write_report(report, str(tmp_path / "h"), "parquet", history=True)
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 4
+
+
+def test_page_cache_follows_the_files(spark):
+    at = ["path", "length"]
+    cache = spark.createDataFrame([("a", 1, "old a"), ("b", 1, "old b"), ("gone", 1, "x")], "path string, length int, text string").withColumn("signature", files.signature(*at))
+    now = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "path string, length int")
+    read = lambda new: new.withColumn("text", F.concat(F.lit("new "), "path"))
+    out = files.refreshed(cache, now, read, at)
+    assert sorted((r.path, r.text) for r in out.collect()) == [("a", "old a"), ("b", "new b"), ("c", "new c")]
