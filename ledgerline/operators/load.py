@@ -107,12 +107,12 @@ def priority() -> list[Column]:
 def select_candidates(candidates: DataFrame, key: Sequence[str], field: str = "field", amounts_of: str = "balance_sheet") -> DataFrame:
     """One candidate a key and field. For amounts of the balance sheet the current period beats an unknown, and an unknown a
     previous one, which strict fields never take and which caps the confidence at 0.3."""
-    role = period_role(F.col("source_column_role"), F.col("source_text"))
-    rows = candidates.withColumn("period_role", role)
-    ranked = F.col("target_table") == amounts_of
-    order = F.when(ranked, F.when(role == "current", 0).when(role == "unknown", 1).otherwise(2)).otherwise(0)
-    rows = rows.where(~(ranked & (F.col("period_role") == "previous") & F.col(field).isin(*STRICT_CURRENT)))
-    best = latest(rows.withColumn("__r", order), [*key, field], [F.col("__r").asc(), *priority()])
+    ranked, role = F.col("target_table") == amounts_of, F.col("period_role")
+    rows = candidates.withColumn("period_role", period_role(F.col("source_column_role"), F.col("source_text")))
+    strict = F.coalesce(F.col(field).isin(*STRICT_CURRENT), F.lit(False))
+    # what may not be taken comes last and goes after the choice: a filter before it would judge the role twice
+    order = F.when(ranked, F.when(role == "current", 0).when(role == "unknown", 1).when(strict, 3).otherwise(2)).otherwise(0)
+    best = latest(rows.withColumn("__r", order), [*key, field], [F.col("__r").asc(), *priority()]).where("__r < 3")
     late = ranked & (F.col("period_role") == "previous")
     risk = F.when(late, "previous_period_used_without_current_candidate").when(ranked & (F.col("period_role") == "unknown"), "unknown_period_role_no_current_candidate").otherwise("")
     return best.withColumn("risk_flag", risk).withColumn("confidence", F.when(late, F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.3))).otherwise(F.col("confidence"))).drop("__r")
