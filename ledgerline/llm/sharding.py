@@ -4,7 +4,7 @@ A row's block plays the part of a partition. The block-by-shard matrix of counts
 from the multivariate hypergeometric law, so shard sizes differ by one at most and every assignment of rows to shards
 is equally likely. Each block is permuted by a seeded hash, cut by its row of the matrix and sent to the shards; each
 shard is permuted again by a second hash to give the slots. Only (doc_id, size, crc) moves, never the text, and only
-block counts come to the driver: max(64, rows / rows_per_block) of them, however wide the rows are.
+block counts come to the driver: max(64, rows / rows_per_block) of them, and no more than MATRIX_CELLS / shards.
 
 Defined results: law `rows`. A null text has size 8 and the checksum of the empty text; null and repeated doc_ids are
 allowed, and rows equal in all key columns share a block and are interchangeable, unless they are so many that they are spread
@@ -14,6 +14,7 @@ of a text are dealt like any other rows (a uniform shuffle can't keep them toget
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -25,8 +26,8 @@ from ledgerline.llm.common import materialize, read_table
 
 #: numpy draws hypergeometric variates for fewer items than this.
 NUMPY_LIMIT = 10**9
-#: Keys of at least LEAST_HOT equal rows and of a HOT_KEYS-th of all rows are split; blocks whose matrix is broadcast, at most.
-HOT_KEYS, LEAST_HOT, MATRIX_BLOCKS = 10_000, 1_000, 20_000
+#: Keys of at least LEAST_HOT equal rows and of a HOT_KEYS-th of all rows are split; cells of the matrix, at most.
+HOT_KEYS, LEAST_HOT, MATRIX_CELLS = 10_000, 1_000, 500_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -88,28 +89,27 @@ def shard_rows(rows: DataFrame, key_cols: list[str], n_shards: int = 24, seed: i
     key_cols = [f"c{cols.index(c)}" for c in key_cols]
     base = materialize(own.withColumn("__n", F.monotonically_increasing_id()))
     total = base.count()
-    n_blocks = max(64, math.ceil(total / rows_per_block))
+    # blocks grow where there would be more cells than MATRIX_CELLS, so what is broadcast is bounded
+    n_blocks = max(1, min(max(64, math.ceil(total / rows_per_block)), MATRIX_CELLS // n_shards))
     # keys of very many equal rows, at most HOT_KEYS of them, are dealt by the row as well
     least = max(LEAST_HOT, math.ceil(total / HOT_KEYS))
     hot = base.groupBy(*[F.col(c).alias(f"h{k}") for k, c in enumerate(key_cols)]).count().where(F.col("count") >= least)
     hot = materialize(hot.withColumn("__hot", F.lit(True)).drop("count"))
     if not hot.isEmpty():
         same = [F.col(c).eqNullSafe(F.col(f"h{k}")) for k, c in enumerate(key_cols)]
-        base = base.join(F.broadcast(hot), same, "left").withColumn("__n", F.when("__hot", F.col("__n"))).select(*own.columns, "__n")
+        base = base.join(F.broadcast(hot), same, "left").withColumn("__n", F.when(F.col("__hot"), F.col("__n"))).select(*own.columns, "__n")
     else:
         base = base.withColumn("__n", F.lit(None).cast("long"))
     key_cols = [*key_cols, "__n"]
     block = F.pmod(_dealt(*key_cols, seed=seed), F.lit(n_blocks)).cast("int")
     have = {r[0]: r[1] for r in base.groupBy(block.alias("b")).count().collect()}
     cut = communication_matrix([have.get(b, 0) for b in range(n_blocks)], n_shards, seed).cumsum(axis=1)
-    # a row a block; small enough for a broadcast up to MATRIX_BLOCKS of them, joined by a shuffle beyond
-    packed = spark.createDataFrame([(b, row) for b, row in enumerate(cut.tolist())], "__block int, __cut array<bigint>")
-    matrix = F.broadcast(packed) if n_blocks <= MATRIX_BLOCKS else packed
+    matrix = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(cut.tolist())), "array<array<bigint>>")).alias("__block", "__cut"))
     local = Window.partitionBy("__block").orderBy("__r1", *key_cols)
     sent = (
         base.withColumns({"__block": block, "__r1": _dealt(*key_cols, seed=seed + 1)})
         .withColumn("__place", F.row_number().over(local))
-        .join(matrix, "__block")
+        .join(F.broadcast(matrix), "__block")
         .withColumn("shard", F.size(F.filter("__cut", lambda c: c < F.col("__place"))))
     )
     n_parts = max(8, math.ceil(total / n_shards / rows_per_block))

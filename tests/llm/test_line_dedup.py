@@ -74,6 +74,16 @@ def test_digest_of_kept_text(spark, tiny):
     assert sorted(map(tuple, line_dedup.op5_line_dedup(spark, tiny).collect())) == want
 
 
-def test_no_python_in_the_plan(spark, tiny):
-    plan = line_dedup.op5_line_dedup(spark, tiny)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_no_python_in_any_plan(spark, tiny, monkeypatch):
+    plans = []
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, f=line_dedup.materialize: plans.append(df._jdf.queryExecution().toString()) or f(df))
+    plans.append(line_dedup.op5_line_dedup(spark, tiny)._jdf.queryExecution().toString())
+    assert len(plans) == 2 and all("Python" not in p and "Arrow" not in p and "RDD" not in p for p in plans)
+
+
+def test_columns_of_internal_names_come_back(spark):
+    names = ["__k1", "__k2", "__text", "__drops", "c0", "__h1", "__hot", "n_lines"]
+    df = spark.createDataFrame([(k, "common\nown " + str(k), *["v"] * len(names)) for k in range(12)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    rows = line_dedup.dedup_lines(df).collect()
+    assert sorted(r.text for r in rows) == sorted(f"own {k}" for k in range(12))
+    assert all(r[n] == "v" for r in rows for n in names if n != "n_lines") and all((r.n_lines, r.n_dropped) == (2, 1) for r in rows)

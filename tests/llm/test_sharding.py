@@ -74,6 +74,43 @@ def test_large_draws(monkeypatch):
     assert abs(big - 4 * 10**8) < 10**6
 
 
-def test_no_python_in_the_plan(spark, small):
-    plan = sharding.op4_sharding(spark, small)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan
+def test_no_python_in_any_plan(spark, small, monkeypatch):
+    plans = []
+    monkeypatch.setattr(sharding, "materialize", lambda df, f=sharding.materialize: plans.append(df._jdf.queryExecution().toString()) or f(df))
+    plans.append(sharding.op4_sharding(spark, small)._jdf.queryExecution().toString())
+    assert len(plans) == 4
+    for plan in plans:
+        assert "Python" not in plan and "Arrow" not in plan and "RDD" not in plan
+
+
+def test_the_deal_against_a_loop(spark):
+    """Blocks, the matrix, both permutations and the slots, from the hashes alone."""
+    n, shards, seed, per_block = 3000, 7, 5, 40
+    rows = spark.range(n).selectExpr("id % 2900 AS doc_id", "id AS size")  # some ids twice
+    got = {(r.doc_id, r.size): (r.shard, r.slot) for r in sharding.shard_rows(rows, ["doc_id", "size"], shards, seed=seed, rows_per_block=per_block).collect()}
+    hashed = [f"xxhash64({seed + k}, doc_id, size) AS h{k}" for k in range(3)]
+    known = [tuple(r) for r in rows.selectExpr("doc_id", "size", *hashed).collect()]
+    blocks = collections.defaultdict(list)
+    for r in known:
+        blocks[r[2] % max(64, -(-n // per_block))].append(r)
+    n_blocks = max(64, -(-n // per_block))
+    cut = sharding.communication_matrix([len(blocks.get(b, ())) for b in range(n_blocks)], shards, seed).cumsum(axis=1)
+    dealt = collections.defaultdict(list)
+    for b, own in blocks.items():
+        for place, r in enumerate(sorted(own, key=lambda r: (r[3], r[0], r[1])), 1):
+            dealt[int((cut[b] < place).sum())].append(r)
+    want = {}
+    for shard, own in dealt.items():
+        high = lambda r: (r[4] % 2**64) >> 33
+        for slot, r in enumerate(sorted(own, key=lambda r: (high(r), r[4], r[0], r[1]))):
+            want[r[0], r[1]] = (shard, slot)
+    assert got == want
+
+
+def test_a_key_of_very_many_equal_rows_is_spread(spark):
+    rows = spark.range(6000).selectExpr("CASE WHEN id < 4000 THEN NULL ELSE id END AS doc_id", "'x' AS __block")
+    out = sharding.shard_rows(rows, ["doc_id"], 8, rows_per_block=200).collect()
+    assert len(out) == 6000 and {r["__block"] for r in out} == {"x"}
+    check(out, 8)
+    nulls = collections.Counter(r.shard for r in out if r.doc_id is None)
+    assert min(nulls.values()) > 300
