@@ -14,7 +14,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     In a round each node points to its smallest neighbour or itself, pointers are followed four steps, and links between
     what they reach are all that is left for the next round. A star of any size is one round's partial aggregation, a
-    path of n nodes takes log n rounds. No group is gathered, and only row counts come to the driver.
+    path of n nodes takes log n rounds. Groups are never gathered in a row; the joins that follow pointers meet one row a target,
+    so the many pointers of a large group are split by Spark's skew join. Only row counts come to the driver.
     """
     left = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
