@@ -163,7 +163,7 @@ def test_repeated_rows_are_compared_once(spark, monkeypatch):
     a, b = at_similarity(3, 4)
     rows = [(1, a)] * 150 + [(2, b)] * 150 + [(3, "other words that stand alone here")]
     seen = []
-    monkeypatch.setattr(minhash_dedup, "_confirmed", lambda pairs, sets, threshold, f=minhash_dedup._confirmed: seen.append((sets.count(), sets.select("nid").distinct().count())) or f(pairs, sets, threshold))
-    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    monkeypatch.setattr(mh, "_confirmed", lambda pairs, sets, threshold, f=mh._confirmed: seen.append((sets.count(), sets.select("nid").distinct().count())) or f(pairs, sets, threshold))
+    out = mh.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(out) == 301 and {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 3)}
     assert seen and all(n == distinct for n, distinct in seen)
