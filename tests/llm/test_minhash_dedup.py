@@ -160,7 +160,7 @@ def test_a_threshold_out_of_reach_is_refused():
 
 def test_repeated_rows_are_compared_once(spark, monkeypatch):
     """Two near copies, each repeated many times, give one pair of full sets."""
-    a, b = at_similarity(3, 4)
+    a, b = at_similarity(3, 2)
     rows = [(1, a)] * 150 + [(2, b)] * 150 + [(3, "other words that stand alone here")]
     seen = []
     monkeypatch.setattr(mh, "_confirmed", lambda pairs, sets, threshold, f=mh._confirmed: seen.append((sets.count(), sets.select("nid").distinct().count())) or f(pairs, sets, threshold))
