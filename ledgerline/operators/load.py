@@ -132,6 +132,11 @@ def assemble(selected: DataFrame, key: Sequence[str], fields: Sequence[str], fie
     return selected.groupBy(*key).pivot(field, list(fields)).agg(F.first(value, ignorenulls=True))
 
 
+def rebuild(selected: DataFrame, key: Sequence[str], fields: Sequence[str], field: str = "field", value: str = "value") -> DataFrame:
+    """A fact table made anew from all selected candidates: one wide record a key, numbered in the order of code, year and period."""
+    return renumber(assemble(selected, key, fields, field, value))
+
+
 def insert_missing_definitions(dictionary: DataFrame, extra: DataFrame) -> DataFrame:
     """Field definitions that the dictionary lacks are appended."""
     return insert_ignore(dictionary, extra, ["field_code"])

@@ -145,6 +145,16 @@ def _(spark, d):
     return load.assemble(load.select_candidates(candidates(spark, d), _CKEY), _CKEY, ["asset_total_assets", "asset_inventory", "net_profit"])
 
 
+@query(
+    "load_rebuild",
+    f"{_SEL}, w AS (SELECT stock_code, report_year, CASE target_table WHEN 'balance_sheet' THEN 'HY' ELSE 'FY' END AS report_period, max(value) FILTER (WHERE field = 'asset_inventory') AS asset_inventory, max(value) FILTER (WHERE field = 'net_profit') AS net_profit FROM sel WHERE n = 1 GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY stock_code, report_year, CASE report_period WHEN 'HY' THEN 2 ELSE 4 END) AS serial_number FROM w",
+)
+def _(spark, d):
+    period = F.when(F.col("target_table") == "balance_sheet", "HY").otherwise("FY")
+    chosen = load.select_candidates(candidates(spark, d), _CKEY).withColumn("report_period", period)
+    return load.rebuild(chosen, ["stock_code", "report_year", "report_period"], ["asset_inventory", "net_profit"])
+
+
 @query("load_insert_definitions", "SELECT field_code, sort_order FROM (VALUES ('region.r_name', 1)) v(field_code, sort_order) UNION ALL SELECT 'nation.' || n_name, 9000 + n_nationkey FROM nation")
 def _(spark, d):
     have = spark.sql("SELECT * FROM VALUES ('region.r_name', 1) AS v(field_code, sort_order)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,11 +53,46 @@ def not_processed(files: DataFrame, done: DataFrame, columns: Sequence[str] = ("
 def read_pages(spark: SparkSession, path: str, page_break: str = "\f") -> DataFrame:
     """Plain-text reports cut into pages: path, page_no, text, compact_text, lines, has_text_layer, parse_status."""
     whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    pages = whole.select("path", F.posexplode(F.split("value", page_break, -1)).alias("pos", "text"))
+    return _page_records(whole.select("path", F.posexplode(F.split("value", page_break, -1)).alias("pos", "text")))
+
+
+def pdf_texts(content: bytes) -> list[str]:
+    """The text layer of each page of a PDF file; needs a PDF library on the executors."""
+    try:
+        import fitz
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs PyMuPDF on the executors, or another reader") from e
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        return [page.get_text("text") for page in doc]
+
+
+def read_documents(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]] = pdf_texts, pattern: str = "*") -> DataFrame:
+    """Page documents as read_pages has them; reader gives the pages' texts of a file's bytes and runs on the executors, a file
+    at a time. A file that it can't read has one page without text and parse_status `failed`."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
+
+    def pages(batches):
+        for batch in batches:
+            for where, content in zip(batch["path"], batch["content"]):
+                try:
+                    rows = [(where, k, t or "", False) for k, t in enumerate(reader(bytes(content)))]
+                except RuntimeError:
+                    raise
+                except Exception:
+                    rows = [(where, 0, "", True)]
+                yield pd.DataFrame(rows, columns=["path", "pos", "text", "failed"])
+
+    out = files.mapInPandas(pages, "path string, pos int, text string, failed boolean")
+    return _page_records(out).withColumn("parse_status", F.when(F.col("failed"), "failed").otherwise(F.col("parse_status"))).drop("failed")
+
+
+def _page_records(pages: DataFrame) -> DataFrame:
+    """(path, pos, text, other columns) as page records."""
     some = F.trim("text") != ""
     return pages.select(
         "path",
         (F.col("pos") + 1).alias("page_no"),
+        *[c for c in pages.columns if c not in ("path", "pos", "text")],
         "text",
         F.regexp_replace("text", r"\s+", "").alias("compact_text"),
         F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "").alias("lines"),
@@ -95,8 +131,6 @@ def _workbook(spark: SparkSession, path: str) -> DataFrame:
     All cells are text; the header of the first workbook names the columns."""
     import io
 
-    import pandas as pd
-
     def sheet(content: bytes, rows: int | None = None) -> pd.DataFrame:
         return pd.read_excel(io.BytesIO(content), dtype=str, nrows=rows)
 

@@ -87,3 +87,12 @@ def test_page_cache_follows_the_files(spark):
     read = lambda new: new.withColumn("text", F.concat(F.lit("new "), "path"))
     out = files.refreshed(cache, now, read, at)
     assert sorted((r.path, r.text) for r in out.collect()) == [("a", "old a"), ("b", "new b"), ("c", "new c")]
+
+
+def test_documents_by_any_reader(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"one\x0c\x0cthree")
+    (tmp_path / "b.bin").write_bytes(b"\xff")
+    rows = files.read_documents(spark, str(tmp_path), lambda content: content.decode().split("\f"), "*.bin").collect()
+    assert sorted((r.path[-5:], r.page_no, r.text, r.parse_status) for r in rows) == [("a.bin", 1, "one", "ok"), ("a.bin", 2, "", "empty"), ("a.bin", 3, "three", "ok"), ("b.bin", 1, "", "failed")]
+    with pytest.raises(Exception, match="PyMuPDF"):
+        files.read_documents(spark, str(tmp_path), pattern="a.bin").collect()
