@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+import functools
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,21 +15,38 @@ PERIODS = ("Q1", "HY", "Q3", "FY")
 
 @dataclass(frozen=True)
 class Marts:
-    """The four tables that queries run over. Any frames of the same columns will do. within: a table's name, a first and a
-    last year to the rows of those years, read by a range of dates; without it whole tables are filtered."""
+    """The four tables that queries run over. Any frames of the same columns will do."""
 
     dim: DataFrame
     income_sheet: DataFrame
     balance_sheet: DataFrame
     cash_flow_sheet: DataFrame
-    within: Callable[[str, int, int], DataFrame] | None = field(default=None, compare=False)
 
     def table(self, name: str, years: Sequence[int] | None = None) -> DataFrame:
         """A fact table, or its rows of these years."""
-        if not years:
-            return getattr(self, name)
-        rows = getattr(self, name) if self.within is None else self.within(name, min(years), max(years))
-        return rows.where(F.col("report_year").isin([int(y) for y in sorted(set(years))]))
+        return _of_years(getattr(self, name), years) if years else getattr(self, name)
+
+
+class BuiltMarts(Marts):
+    """Marts whose fact tables are planned when they are asked for. facts: for each table's name a function of its first and
+    last year, or None for all; years are read by a range of dates."""
+
+    def __init__(self, dim: DataFrame, facts: Mapping[str, Callable[[tuple[int, int] | None], DataFrame]]):
+        object.__setattr__(self, "dim", dim)
+        object.__setattr__(self, "facts", facts)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.__dict__.get("facts", ()):
+            raise AttributeError(name)
+        object.__setattr__(self, name, self.facts[name](None))
+        return self.__dict__[name]
+
+    def table(self, name: str, years: Sequence[int] | None = None) -> DataFrame:
+        return _of_years(self.facts[name]((min(years), max(years))), years) if years else getattr(self, name)
+
+
+def _of_years(rows: DataFrame, years: Sequence[int]) -> DataFrame:
+    return rows.where(F.col("report_year").isin([int(y) for y in sorted(set(years))]))
 
 
 def money(c: Column, digits: int = 2) -> Column:
@@ -46,16 +64,15 @@ def _code(c: str) -> Column:
 def build(spark: SparkSession, sf_dir: str, grain: str = "nation", quarterly: bool = False) -> Marts:
     """Marts from the order tables. grain: `nation`, `supplier` (income and cash) or `customer` (balance). quarterly: cumulative
     Q1, HY, Q3 and FY records instead of FY alone."""
-    nation, supplier, customer = (_table(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
+    read = functools.cache(lambda name: _table(spark, sf_dir, name))  # reading a table's schema takes a job
     key = {"nation": ("s_nationkey", "c_nationkey"), "supplier": ("s_suppkey", "c_nationkey"), "customer": ("s_nationkey", "c_custkey")}[grain]
-    source = {"nation": (nation, "n_nationkey", "n_name"), "supplier": (supplier, "s_suppkey", "s_name"), "customer": (customer, "c_custkey", "c_name")}[grain]
-    frame, k, name = source
-    dim = frame.select(_code(k).alias("stock_code"), F.col(name).alias("stock_abbr"), F.concat(F.col(name), F.lit(" Holdings")).alias("company_name"))
+    k, name = {"nation": ("n_nationkey", "n_name"), "supplier": ("s_suppkey", "s_name"), "customer": ("c_custkey", "c_name")}[grain]
+    dim = read(grain).select(_code(k).alias("stock_code"), F.col(name).alias("stock_abbr"), F.concat(F.col(name), F.lit(" Holdings")).alias("company_name"))
 
     revenue = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
 
     def lines(years: tuple[int, int] | None) -> DataFrame:
-        rows = _dated(_table(spark, sf_dir, "lineitem"), "l_shipdate", years).select(
+        rows = _dated(read("lineitem"), "l_shipdate", years).select(
             "l_suppkey",
             F.year("l_shipdate").alias("report_year"),
             F.month("l_shipdate").alias("m"),
@@ -65,15 +82,15 @@ def build(spark: SparkSession, sf_dir: str, grain: str = "nation", quarterly: bo
         )
         if grain == "supplier":
             return rows.withColumn("stock_code", _code("l_suppkey"))
-        return rows.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey")), "l_suppkey").withColumn("stock_code", _code("s_nationkey"))
+        return rows.join(read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey")), "l_suppkey").withColumn("stock_code", _code("s_nationkey"))
 
     def orders(years: tuple[int, int] | None) -> DataFrame:
-        rows = _dated(_table(spark, sf_dir, "orders"), "o_orderdate", years).select(
+        rows = _dated(read("orders"), "o_orderdate", years).select(
             "o_custkey", F.year("o_orderdate").alias("report_year"), F.month("o_orderdate").alias("m"), "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("amount")
         )
         if grain == "customer":
             return rows.withColumn("stock_code", _code("o_custkey"))
-        return rows.join(customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey")), "o_custkey").withColumn("stock_code", _code("c_nationkey"))
+        return rows.join(read("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey")), "o_custkey").withColumn("stock_code", _code("c_nationkey"))
 
     def by_period(df: DataFrame) -> DataFrame:
         if not quarterly:
@@ -113,8 +130,7 @@ def build(spark: SparkSession, sf_dir: str, grain: str = "nation", quarterly: bo
         )
         return rows.withColumn("equity_total_equity", money(F.col("asset_total_assets") - F.col("liability_total_liabilities")))
 
-    made = {"income_sheet": income, "balance_sheet": balance, "cash_flow_sheet": cash}
-    return Marts(dim, income(), balance(), cash(), lambda name, first, last: made[name]((first, last)))
+    return BuiltMarts(dim, {"income_sheet": income, "balance_sheet": balance, "cash_flow_sheet": cash})
 
 
 def _dated(rows: DataFrame, column: str, years: tuple[int, int] | None) -> DataFrame:
