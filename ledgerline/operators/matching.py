@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions.metrics import ladder
-from ledgerline.functions.text import alias_names, compact_text, contains_any
+from ledgerline.functions.text import alias_names, compact_text, contains_any, once
 
 
 def company_aliases(dim: DataFrame) -> DataFrame:
@@ -83,12 +83,14 @@ def contained_items(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 def metric_mentions(questions: DataFrame, aliases: DataFrame, key: str = "question_id", text: str = "question") -> DataFrame:
     """The metrics that a question names: (key, metric, alias, place), one row a metric by its longest alias found in the text
-    without blanks; longer aliases come first, then the dictionary's order. aliases: metric, alias, position."""
+    without blanks; longer aliases come first, then the dictionary's order. aliases: metric, alias, position. The dictionary
+    is short and meets each text as one array, so neither the substrings of a text nor a join is needed."""
     named = aliases.select("metric", "position", "alias", compact_text(F.col("alias")).alias("a")).where("a <> ''")
-    lengths = named.agg(F.collect_set(F.length("a")).alias("n")).scalar()
-    rows = questions.select(key, compact_text(F.col(text)).alias("q")).withColumn("__n", lengths)
-    hits = rows.select(key, F.explode(_substrings(F.col("q"), F.col("__n"))).alias("a")).join(named, "a")
-    best = hits.groupBy(key, "metric").agg(F.min(F.struct((-F.length("a")).alias("n"), "position", "alias")).alias("b"))
+    listed = named.agg(F.collect_list(F.struct((-F.length("a")).alias("n"), "position", "alias", "metric", "a"))).scalar()
+    rows = questions.select(key, F.col(text).alias("q")).withColumn("__all", listed)
+    found = once(compact_text(F.col("q")), lambda q: F.filter("__all", lambda x: F.contains(q, x["a"])))
+    hits = rows.select(key, F.explode(found).alias("h"))
+    best = hits.groupBy(key, F.col("h.metric").alias("metric")).agg(F.min(F.struct("h.n", "h.position", "h.alias")).alias("b"))
     w = Window.partitionBy(key).orderBy("b.n", "b.position", "metric")
     return best.select(key, "metric", F.col("b.alias").alias("alias"), F.row_number().over(w).alias("place"))
 

@@ -154,3 +154,25 @@ def test_no_nested_loops(spark):
     for name in ("text_contained_items", "text_match_files", "dq_expected_missing"):
         plan = catalog_operators.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+_DICTIONARY = [("ring", "ring", 0), ("ring", "small  ring", 0), ("size", "Small", 4), ("size", "small", 5), ("profit", "净利润", 1), ("profit", "利润", 1), ("tie", "cash", 2), ("also", "cash", 2), ("none", "", 0), ("none", None, 0)]
+_QUESTIONS = [(1, "a small ring"), (2, "Small sma ll"), (3, "净 利润 and 利润 of ring"), (4, "cash\t"), (5, ""), (6, None), (7, "ring"), (7, "small"), (8, "nothing"), (None, "cash")]
+
+
+def _named(dictionary, questions):
+    """(key, metric, alias, place) by a loop."""
+    hits = {}
+    for k, t in questions:
+        for m, a, p in dictionary:
+            if (short := "".join((a or "").split())) and short in "".join((t or "").split()):
+                hits.setdefault(k, {}).setdefault(m, []).append((-len(short), p, a))
+    return {(k, m, min(x)[2], place) for k, of in hits.items() for place, (m, x) in enumerate(sorted(of.items(), key=lambda i: (min(i[1])[:2], i[0])), 1)}
+
+
+def test_metric_mentions_without_substrings_or_joins(spark):
+    mentions = matching.metric_mentions(spark.createDataFrame(_QUESTIONS, "question_id int, question string"), spark.createDataFrame(_DICTIONARY, "metric string, alias string, position int"))
+    got = list(map(tuple, mentions.collect()))
+    assert len(got) == len(set(got)) and set(got) == _named(_DICTIONARY, _QUESTIONS)
+    plan = mentions._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "substr" not in plan
