@@ -95,22 +95,18 @@ def metric_mentions(questions: DataFrame, aliases: DataFrame, key: str = "questi
     return best.select(key, "metric", F.col("b.alias").alias("alias"), F.row_number().over(w).alias("place"))
 
 
-def _alias_covers(aliases: Column, text: Column, phrase: str) -> Column:
-    return F.exists(aliases, lambda a: F.contains(a, F.lit(phrase)) & F.contains(text, a))
-
-
 def ambiguous_phrases(questions: DataFrame, mentions: DataFrame, aliases: DataFrame, rules: Mapping[str, tuple[Sequence[str], Sequence[str]]], key: str = "question_id", text: str = "question") -> DataFrame:
     """(key, phrase) of the vague words that a question must make clear. rules: phrase -> (words that resolve it, metrics that it
     may mean). A phrase is clear as well if one of its metrics is named, or if an alias in the question holds it."""
     met = mentions.groupBy(key).agg(F.collect_set("metric").alias("metrics"))
-    known = aliases.groupBy("metric").agg(F.collect_set(compact_text(F.col("alias"))).alias("all"))
-    said = mentions.select(key, "metric").join(known, "metric").groupBy(key).agg(F.flatten(F.collect_list("all")).alias("all"))
-    rows = questions.select(key, compact_text(F.col(text)).alias("q")).join(met, key, "left").join(said, key, "left")
-    none = F.array().cast("array<string>")
+    known = aliases.where("metric IS NOT NULL").agg(F.collect_set(F.struct("metric", compact_text(F.col("alias")).alias("a")))).scalar()
+    asked = questions.select(key, compact_text(F.col(text)).alias("q")).where(F.exists(F.array(*map(F.lit, rules)), lambda p: F.contains("q", p)))
+    rows = asked.join(met, key, "left").withColumn("__all", known)
+    metrics = F.coalesce("metrics", F.array().cast("array<string>"))
     out = []
-    for phrase, (resolving, metrics) in rules.items():
-        covered = _alias_covers(F.coalesce("all", none), F.col("q"), phrase)
-        named = F.arrays_overlap(F.coalesce("metrics", none), F.array(*map(F.lit, metrics)))
+    for phrase, (resolving, meant) in rules.items():
+        covered = F.exists("__all", lambda x: F.contains(x["a"], F.lit(phrase)) & F.contains(F.col("q"), x["a"]) & F.array_contains(metrics, x["metric"]))  # noqa: B023
+        named = F.arrays_overlap(metrics, F.array(*map(F.lit, meant)))
         open_ = F.contains("q", F.lit(phrase)) & ~contains_any(F.col("q"), resolving) & ~covered & ~named
         out.append(F.when(open_, F.lit(phrase)))
     return rows.select(key, F.explode(F.array_compact(F.array(*out))).alias("phrase"))

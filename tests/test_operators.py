@@ -176,3 +176,23 @@ def test_metric_mentions_without_substrings_or_joins(spark):
     assert len(got) == len(set(got)) and set(got) == _named(_DICTIONARY, _QUESTIONS)
     plan = mentions._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "substr" not in plan
+
+
+def test_ambiguous_phrases_join_the_questions_once(spark):
+    rules = {"ring": (("red", "blue"), ("size",)), "cash": (("bank",), ("profit",))}
+    dictionary = [x for x in _DICTIONARY if x[0] != "ring"] + [("ring", "small ring", 0), (None, "ring", 0)]
+    questions = [*_QUESTIONS, (9, "r ing"), (10, "ring red"), (11, "cash and ring"), (12, "净利润 cash"), (13, "rings")]
+    asked = spark.createDataFrame(questions, "question_id int, question string")
+    aliases = spark.createDataFrame(dictionary, "metric string, alias string, position int")
+    mentions = spark.createDataFrame(sorted(_named(dictionary[:-1], questions), key=str), "question_id int, metric string, alias string, place int")
+    out = matching.ambiguous_phrases(asked, mentions, aliases, rules)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    want = []
+    for k, t in questions:
+        q = "".join((t or "").split())
+        met = {m for n, m, _, _ in _named(dictionary[:-1], questions) if n is not None and n == k}
+        for phrase, (resolving, meant) in rules.items():
+            covered = any(m in met and phrase in "".join((a or "").split()) and "".join((a or "").split()) in q for m, a, _ in dictionary)
+            if phrase in q and not any(w in q for w in resolving) and not covered and not met & set(meant):
+                want.append((k, phrase))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and want
