@@ -16,7 +16,6 @@ are plain text.
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import fresh, frugal, read_table, small_batches
+from ledgerline.llm.common import fresh, frugal, read_table, remembered, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Distinct cuts that a worker remembers between batches, at most, and the longest of them in characters.
@@ -207,7 +206,7 @@ class ByteBPE:
         return b"".join(b"".join(map(tokens.__getitem__, np.frombuffer(ids[k : k + n], "<u4").tolist())) for k in range(0, len(ids), n))
 
 
-@functools.lru_cache(maxsize=2)
+@remembered(2)
 def _codec(ranks: bytes, pattern: str) -> ByteBPE:
     return ByteBPE(ranks, pattern)
 

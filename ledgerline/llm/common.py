@@ -55,26 +55,60 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def _give_back() -> None:
+    """What this process holds free goes back to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, which gives back to the system what its worker holds free once it has ended: workers stay while later stages,
-    which may be all JVM, need the memory."""
+    """run, which gives back to the system what its worker holds free after each batch and once it has ended: workers stay
+    while later stages, which may be all JVM, need the memory."""
 
     @functools.wraps(run)
     def through(batches):
         try:
-            yield from run(batches)
+            for out in run(batches):
+                yield out
+                del out
+                _give_back()
         finally:
-            import pyarrow
-
-            pyarrow.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            _give_back()
 
     return through
 
 
+_REMEMBERED: list = []
+
+
+def remembered(most: int = 1) -> Callable[[Callable], Callable]:
+    """A function whose last results a Python worker remembers between tasks, until it asks one of another module: workers
+    outlive stages, so each holds the tables of one operator at a time."""
+
+    def mark(make: Callable) -> Callable:
+        held = functools.lru_cache(maxsize=most)(make)
+        _REMEMBERED.append(held)
+
+        @functools.wraps(make)
+        def get(*key):
+            others = [x for x in _REMEMBERED if x.__module__ != held.__module__ and x.cache_info().currsize]
+            for x in others:
+                x.cache_clear()
+            if others:
+                _give_back()
+            return held(*key)
+
+        get.cache_info = held.cache_info
+        return get
+
+    return mark
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, rows and generated ids stay fixed,
     and a lost executor costs no recomputation."""

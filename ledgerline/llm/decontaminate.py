@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, frugal, materialize, read_table
+from ledgerline.llm.common import discard, frugal, materialize, read_table, remembered
 
 Q, EDITS, MIN_EDITS = 8, 0.10, 20
 WHOLE, LONG, STEP, SHARE = 128, 96, 32, 0.3
@@ -339,7 +339,7 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     return int(source[kept[max(0, start - 1)]]), int(source[kept[min(max(1, end - 1), len(kept)) - 1]]) + 1
 
 
-@functools.lru_cache(maxsize=1)
+@remembered()
 def _index(items: bytes) -> Index:
     return Index(pickle.loads(items))
 

@@ -20,7 +20,6 @@ labels (0 with none). Labels, language, source and doc_id are no inputs of a sco
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import frugal, read_table, small_batches
+from ledgerline.llm.common import frugal, read_table, remembered, small_batches
 from ledgerline.llm.grams import hashed_grams
 
 BITS, SIZES = 18, (3, 4)
@@ -252,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return fit([r[2] for r in rows], np.array([r[3] for r in rows]), prior=by_class[1] / (by_class[0] + by_class[1]))
 
 
-@functools.lru_cache(maxsize=2)
+@remembered()
 def _cache(key: int) -> dict[str, float]:
     return {}
 
@@ -266,9 +265,10 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
     @F.pandas_udf("double")
     @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = _cache(key)
         for texts in batches:
             held = texts.tolist()
-            yield pd.Series(np.concatenate([model.scores(held[k : k + 1000], _cache(key)) for k in range(0, len(held), 1000)] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([model.scores(held[k : k + 1000], words) for k in range(0, len(held), 1000)] or [np.zeros(0)]))
 
     return run(text)
 

@@ -1,4 +1,6 @@
+import base64
 import pathlib
+import pickle
 
 import pytest
 
@@ -107,3 +109,17 @@ def test_only_the_newest_table_stays(spark, tiny):
     before = set(path.glob("ledgerline-*"))
     corpus_pipeline.run(spark, tiny)
     assert len(set(path.glob("ledgerline-*")) - before) == 1
+
+
+def test_a_worker_holds_the_tables_of_one_operator():
+    """Workers outlive stages: what the last operator remembered goes when the next one begins."""
+    ranks = b"\n".join(base64.b64encode(bytes([b])) + b" %d" % b for b in range(256))
+    size = lambda: [f.cache_info().currsize for f in (byte_bpe._codec, toxicity._cache, decontaminate._index)]
+    codec = byte_bpe._codec(ranks, ".+")
+    assert byte_bpe._codec(ranks, ".+") is codec and size() == [1, 0, 0]
+    toxicity._cache(1)["word"] = 0.5
+    assert toxicity._cache(1) == {"word": 0.5} and size() == [0, 1, 0]
+    assert toxicity._cache(2) == {} and size() == [0, 1, 0]
+    decontaminate._index(pickle.dumps([("a", "a passage of a benchmark")]))
+    assert size() == [0, 0, 1]
+    assert byte_bpe._codec(ranks, ".+").encode("ab") == b"a\0\0\0b\0\0\0" and size() == [1, 0, 0]
